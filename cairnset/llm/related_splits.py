@@ -48,7 +48,7 @@ def propagate_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ways = links.groupBy("id").agg(F.collect_set(entity).alias("es")).where(F.size("es") > 1)
     pairs = materialize(ways.select(F.explode("es").alias("a"), F.array_min("es").alias("b")).where("a <> b").distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(links.select(entity.alias("a"), F.col("first").alias("label")).distinct())
+    labels = materialize(links.groupBy(entity.alias("a")).agg(F.min("id").alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         heard = labels.join(near, "a", "left").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
