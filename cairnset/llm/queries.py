@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnset.llm import cross_split, format_duplicates, related_splits
+from cairnset.llm import cross_split, format_duplicates, mixture_clusters, packing, reading_level, related_splits, source_mixing, varied_subset
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split.overlap_report(_table(spark, sf, "umap_dataset"))
 
 
+def p3_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    medoids = _table(spark, sf, "npy_medoids")
+    labels = mixture_clusters.cluster_labels(medoids).select("id", "label")
+    return varied_subset.choose_subsets(medoids, labels, _table(spark, sf, "library_info"), _table(spark, sf, "subset_targets"))
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    return varied_subset.subset_report(p3_subsets(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return related_splits.related_members(_table(spark, sf, "umap_dataset"))
 
@@ -42,5 +52,42 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return related_splits.split_report(p4_splits(spark, sf))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p4_splits": p4_splits, "p4_report": p4_report}
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture_clusters.cluster_members(_table(spark, sf, "npy_medoids"))
+
+
+def p5_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture_clusters.cluster_report(_table(spark, sf, "npy_medoids"))
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf, "documents"), _table(spark, sf, "pack_sizes"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_report(p7_packed(spark, sf))
+
+
+def p8_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return source_mixing.mix_sources(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return source_mixing.mix_report(p8_mixed(spark, sf), _table(spark, sf, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    levels = reading_level.reading_levels(_table(spark, sf, "documents"), _table(spark, sf, "reading_labels"))
+    return levels.where("level >= 4").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.reading_levels(_table(spark, sf, "documents"), _table(spark, sf, "reading_labels"))
+
+
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.level_profile(_table(spark, sf, "documents"), _table(spark, sf, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p3_subsets, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_clusters, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_levels, p9_profile)}
 SQL: dict[str, str] = {}
