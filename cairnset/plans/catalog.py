@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnset.plans import error_queries
+from cairnset.plans import error_queries, evaluation_queries, selection_queries, similarity_queries, space_queries
 
-FLAGSHIP = "p6_report"
-_MODULES = (error_queries,)
+FLAGSHIP = "nn_win_summary"
+_MODULES = (error_queries, similarity_queries, selection_queries, space_queries, evaluation_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: text for m in _MODULES for name, text in m.SQL.items()}
