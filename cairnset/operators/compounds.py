@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnset.functions.smiles import well_formed
 from cairnset.functions.text import squeeze
@@ -39,7 +40,7 @@ def normalised(df: DataFrame, id_col: str, label: int | None = None) -> DataFram
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.when(t != "", t), F.concat(F.lit("row_"), F.col(id_col).cast("string"))).alias("title"), F.when(s != "", s).alias("smiles"), value.cast("int").alias("label"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def reads(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether a structure is well-formed; null counts as not."""
     for s in batches:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnset.functions.smiles import well_formed
 
@@ -110,7 +111,10 @@ def read_fields(line: str) -> list[str] | None:
     return None if state == _QUOTED else [*fields, "".join(begun)]
 
 
-@F.pandas_udf("quoted boolean, fields array<string>, cost int, edits string")
+_PARSED = T.StructType([T.StructField("quoted", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("cost", T.IntegerType()), T.StructField("edits", T.StringType())])
+
+
+@F.pandas_udf(_PARSED)
 def _error_parse(line: pd.Series, n_fields: pd.Series) -> pd.DataFrame:
     out = []
     for text, n in zip(line, n_fields):
@@ -123,7 +127,7 @@ def _error_parse(line: pd.Series, n_fields: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["quoted", "fields", "cost", "edits"])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _well_formed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: x is not None and well_formed(x)).astype(bool)

@@ -43,4 +43,5 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
     rx, ry = average_ranks(rows, [], "_x", "rx").select("_x", "rx"), average_ranks(rows, [], "_y", "ry").select("_y", "ry")
     both = rows.join(rx, "_x").join(ry, "_y")
-    return both.agg(F.count("*").alias("n"), F.when((F.count("*") > 1) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
+    spread = F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
+    return both.agg(F.count("*").alias("n"), (F.covar_pop("rx", "ry") / spread).alias("rho"))

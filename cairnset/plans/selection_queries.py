@@ -9,7 +9,6 @@ from cairnset.operators import selection as sel
 from cairnset.plans.tables import MEDOIDS, medoids, rounded
 
 K = 200
-_MASSES = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(f"{k}_mass") for k in ("active", "decoy", "vendor")]
 
 
 def _decoys(m: DataFrame) -> DataFrame:
@@ -35,7 +34,8 @@ def cluster_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cluster_masses(spark: SparkSession, sf: str) -> DataFrame:
-    return medoids(spark, sf).groupBy("cluster_id").agg(*_MASSES, F.sum("mass").alias("all_mass"), F.count("*").alias("n"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(f"{k}_mass")
+    return medoids(spark, sf).groupBy("cluster_id").agg(*map(of, ("active", "decoy", "vendor")), F.sum("mass").alias("all_mass"), F.count("*").alias("n"))
 
 
 def cluster_library_masses(spark: SparkSession, sf: str) -> DataFrame:
