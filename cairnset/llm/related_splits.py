@@ -48,17 +48,18 @@ def propagate_labels(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ways = links.groupBy("id").agg(F.collect_set(entity).alias("es")).where(F.size("es") > 1)
     pairs = materialize(ways.select(F.explode("es").alias("a"), F.array_min("es").alias("b")).where("a <> b").distinct())
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(links.groupBy(entity.alias("a")).agg(F.min("id").alias("label")))
+    labels = materialize(links.groupBy(entity.alias("a")).agg(F.min("id").alias("own")).withColumn("label", F.col("own")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        heard = labels.join(near, "a", "left").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a label is the id of a record; the best label that anyone of the same old label heard counts for all of them
-        jump = heard.groupBy("old").agg(F.min("label").alias("best"))
-        settled = heard.join(jump, "old").select("a", "old", F.col("best").alias("label"))
-        new = materialize(settled)
+        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        heard = labels.join(near, "a", "left").select("a", "own", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # a label is the id of a record: what the entities named after it, or labelled with it, heard counts for all
+        known = heard.select(F.col("own").alias("x"), "label").unionByName(heard.select(F.col("old").alias("x"), "label")).groupBy("x").agg(F.min("label").alias("best"))
+        first = heard.join(known, F.col("old") == F.col("x")).select("a", "own", "old", F.least("label", "best").alias("label"))
+        then = known.select(F.col("x").alias("y"), F.col("best").alias("farther"))
+        new = materialize(first.join(then, F.col("label") == F.col("y"), "left").select("a", "own", "old", F.least("label", "farther").alias("label")))
         moved = new.where("label <> old").limit(1).count()
         drop(labels)
-        labels = new.select("a", "label")
+        labels = new.select("a", "own", "label")
         if not moved:
             break
     else:
@@ -99,6 +100,22 @@ def _fill(groups: list, targets: np.ndarray, rows: np.ndarray) -> list[int]:
     return out
 
 
+def _open_shares(strata: dict[int, tuple], left: np.ndarray, t: np.ndarray, rounds: int = 300) -> dict[int, np.ndarray]:
+    """For each stratum, its shares of the splits, such that the strata together give each split the rows of each label
+    that are ``left``: iterative scaling, a stratum moving with a label by that label's share of its rows."""
+    if not strata:
+        return {}
+    n = np.array([strata[k] for k in strata], float)
+    f = n / n.sum(1, keepdims=True)
+    goal = left / np.maximum(left.sum(0), 1e-9) * n.sum(0)
+    x = np.tile(np.maximum(t, 0) / t.sum(), (len(n), 1))
+    for _ in range(rounds):
+        now = x.T @ n
+        x *= np.exp(f @ np.log(np.clip((goal + 1e-9) / (now + 1e-9), 0.1, 10)).T) * (t > 0)
+        x /= x.sum(1, keepdims=True)
+    return dict(zip(strata, x))
+
+
 def assign_splits(df: DataFrame, groups: DataFrame, targets: DataFrame, id_col: str = "mol_id", label_col: str = "label", large_share: float = 0.0005) -> DataFrame:
     """``scheme, mol_id, group_id, label, split`` for every record and scheme of ``targets``.
 
@@ -120,32 +137,27 @@ def assign_splits(df: DataFrame, groups: DataFrame, targets: DataFrame, id_col:
     total = sizes.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n0", "n1", "n2", "n")]).first()
     large = sizes.where(F.col("n") >= max(2, large_share * total["n"])).orderBy(F.desc("n"), "group_id").collect()  # at most 1 / large_share rows
     rows = np.array([total["n0"], total["n1"], total["n2"], total["n"]], float)
+    # strata: shares of label 1 and of null labels in steps; buckets of a hash keep running totals distributed
+    step = lambda n: F.floor(F.col(n) / F.col("n") * _STEPS + 0.5)
+    stratum = (step("n1") * 100 + F.least(step("n2"), _STEPS - step("n1"))).cast("int")
+    big = spark.createDataFrame([(g["group_id"],) for g in large], "group_id long")
+    small = sizes.join(F.broadcast(big), "group_id", "left_anti").withColumn("k", stratum)
+    strata = {r["k"]: (r["n0"], r["n1"], r["n2"]) for r in small.groupBy("k").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "n2")]).collect()}  # 45 rows at most
     placed, shares = [], []
     for scheme, parts in schemes.items():
         t = np.array([p for _, p in parts])
         t = t / t.sum() if t.sum() > 0 else np.full(len(parts), 1 / len(parts))
         where = _fill([(g["n0"], g["n1"], g["n2"], g["n"]) for g in large], t, rows)
         placed += [(scheme, g["group_id"], parts[s][0]) for g, s in zip(large, where)]
-        # for each class, what the large groups leave open of each split, as shares of the small groups' rows
-        have = np.zeros((len(parts), 4))
+        have = np.zeros((len(parts), 3))
         for g, s in zip(large, where):
-            have[s] += (g["n0"], g["n1"], g["n2"], g["n"])
-        left = np.maximum(t[:, None] * rows[None, :] - have, 0)
-        base = np.maximum(left[:, 3], 1e-9) * (t > 0)
-        open_ = np.stack([left[:, k] / left[:, k].sum() if left[:, k].sum() > 0 else base / base.sum() for k in range(3)], 1)
-        for a in range(_STEPS + 1):
-            for b in range(_STEPS + 1 - a):
-                mix = open_ @ (np.array([_STEPS - a - b, a, b]) / _STEPS)
-                ends = np.cumsum(mix) / mix.sum()
-                shares += [(scheme, a * 100 + b, parts[s][0], float(ends[s - 1]) if s else 0.0, float(ends[s]) if s + 1 < len(parts) else 1.0 + 1e-9) for s in range(len(parts))]
+            have[s] += (g["n0"], g["n1"], g["n2"])
+        for k, mix in _open_shares(strata, np.maximum(t[:, None] * rows[None, :3] - have, 0), t).items():
+            ends = np.cumsum(mix)
+            shares += [(scheme, k, parts[s][0], float(ends[s - 1]) if s else 0.0, float(ends[s]) if s + 1 < len(parts) else 1.0 + 1e-9) for s in range(len(parts))]
     large_at = spark.createDataFrame(placed, "scheme string, group_id long, split string")
     bounds = spark.createDataFrame(shares, "scheme string, k int, split string, lo double, hi double").where("hi > lo")
-    big = large_at.select("group_id").distinct()
-    small = sizes.join(F.broadcast(big), "group_id", "left_anti")
-    # strata: shares of label 1 and of null labels in steps; buckets of a hash keep running totals distributed
-    step = lambda n: F.floor(F.col(n) / F.col("n") * _STEPS + 0.5)
-    stratum = (step("n1") * 100 + F.least(step("n2"), _STEPS - step("n1"))).cast("int")
-    small = small.select("group_id", "n", stratum.alias("k"), F.pmod(F.xxhash64("group_id"), F.lit(512)).alias("bucket"))
+    small = small.select("group_id", "n", "k", F.pmod(F.xxhash64("group_id"), F.lit(512)).alias("bucket"))
     per = small.groupBy("k", "bucket").agg(F.sum("n").alias("m"))
     before = per.select("k", "bucket", (F.sum("m").over(Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("k")).alias("all"))  # 45 strata x 512 buckets
     inner = F.sum("n").over(Window.partitionBy("k", "bucket").orderBy(F.xxhash64("group_id", F.lit(7)), "group_id").rowsBetween(Window.unboundedPreceding, 0))
