@@ -99,3 +99,13 @@ def test_splits_keep_groups_and_shares(spark):
     share = {(r["scheme"], r["split"]): r["row_share"] for r in rs.split_report(out).collect()}
     assert ("n", "val") not in share
     assert share["w", "train"] == pytest.approx(0.7, abs=0.05) and share["n", "test"] == pytest.approx(0.2, abs=0.05)
+
+
+def test_splits_of_nothing_and_null_labels(spark):
+    targets = spark.createDataFrame([("w", "train", 1.0), ("w", "test", None)], "scheme string, split string, target_share double")
+    empty = spark.createDataFrame([], SCHEMA)
+    assert rs.assign_splits(empty, rs.related_groups(empty), targets).count() == 0
+    rows = [(i, f"C{'C' * i}", None, None, None, None, "x", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = rs.assign_splits(df, rs.related_groups(df), targets).collect()
+    assert len(out) == 20 and {r["split"] for r in out} == {"train"}
