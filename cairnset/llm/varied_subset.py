@@ -135,8 +135,8 @@ def choose_subsets(medoids: DataFrame, labels: DataFrame, libraries: DataFrame,
         some = some.withColumn("rn", F.row_number().over(Window.partitionBy(*combo).orderBy(*order))).where("rn <= q")
         out = ["subset_name", "medoid_id", "library", "medoid_index", "group_id", "depth"]
         parts.append(asked.where("all_of_it").select(*out).unionByName(some.select(*out)))
-    chosen = parts[0]
-    for p in parts[1:]:
+    chosen = medoids.sparkSession.createDataFrame([], "subset_name string, medoid_id long, library string, medoid_index long, group_id long, depth long")
+    for p in parts:
         chosen = chosen.unionByName(p)
     return chosen
 
