@@ -114,14 +114,16 @@ def pack_items(items: DataFrame, sizes: DataFrame, bins: int = 512, depth: int =
     """
     spark = items.sparkSession
     packs = [(r["pack_name"], int(r["capacity_tokens"])) for r in sizes.where("capacity_tokens > 0").distinct().orderBy("pack_name").collect()]  # a parameter table
-    caps = spark.createDataFrame([(p, c, class_width(c, bins)) for p, c in packs], "pack_name string, capacity int, width int")
-    every = items.where("n_tokens > 0").select(F.col("item_id"), F.col("n_tokens").cast("long").alias("size")).join(F.broadcast(caps))
+    if not packs:
+        return spark.createDataFrame([], "pack_name string, capacity int, container_id string, item_id long, piece int, n_tokens int")
+    per_pack = F.array(*[F.struct(F.lit(p).alias("pack_name"), F.lit(c).alias("capacity"), F.lit(class_width(c, bins)).alias("width")) for p, c in packs])
+    every = items.where("n_tokens > 0").select("item_id", F.col("n_tokens").cast("long").alias("size"), F.inline(per_pack))
     whole = F.floor((F.col("size") - 1) / F.col("capacity"))
     cut = every.withColumn("whole", whole).withColumn("rest", (F.col("size") - F.col("whole") * F.col("capacity")).cast("int"))
-    # classes by length; a salt of 64 spreads each class over as many tasks
-    cut = cut.withColumn("cls", F.floor((F.col("rest") - 1) / F.col("width")).cast("int")).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(64)).cast("int"))
+    # classes by length; 16 salts spread each class over as many tasks
+    cut = cut.withColumn("cls", F.floor((F.col("rest") - 1) / F.col("width")).cast("int")).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(16)).cast("int"))
     cut = materialize(cut.select("pack_name", "capacity", "item_id", "size", "whole", "rest", "cls", "salt"))
-    hist = cut.groupBy("pack_name", "cls", "salt").agg(F.count("*").alias("n"), F.max("rest").alias("longest")).collect()  # packs x bins x 64 rows
+    hist = cut.groupBy("pack_name", "cls", "salt").agg(F.count("*").alias("n"), F.max("rest").alias("longest")).collect()  # packs x bins x 16 rows
     by_pack: dict[str, dict[int, list]] = {}
     for r in hist:
         by_pack.setdefault(r["pack_name"], {}).setdefault(r["cls"], []).append((r["salt"], r["n"], r["longest"]))
