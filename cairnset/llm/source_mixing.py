@@ -100,7 +100,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, topic_col: str = "cour
     spark = documents.sparkSession
     texts = materialize(sized_by_cell(documents, topic_col, path).where("source IS NOT NULL AND n_tokens > 0"))
     size = F.floor(F.log2("n_tokens") * 4).cast("int")
-    salted = texts.withColumns({"size": size, "salt": F.pmod(F.xxhash64("text_id", F.lit(seed)), F.lit(32)).cast("int")})
+    salted = texts.withColumns({"size": size, "salt": F.pmod(F.xxhash64("text_id", F.lit(seed)), F.lit(8)).cast("int")})
     parts = salted.groupBy("source", "lang", "topic", "size", "salt").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()  # categories x sizes x salts
     tokens: dict[tuple, float] = {}
     for r in parts:
