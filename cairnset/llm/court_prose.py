@@ -4,39 +4,62 @@ lists and closing orders. Plain functions on one text, for use inside tasks; who
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 #: Frequent words that tell the languages apart.
-MARKERS = {"en": ("the", "of", "and", "was", "that", "to"), "de": ("der", "die", "und", "das", "nicht", "den"), "fr": ("le", "la", "les", "des", "une", "que")}
+MARKERS = {"en": (" the ", " of ", " and ", " was ", " that ", " to "), "de": (" der ", " die ", " und ", " das ", " nicht ", " den "), "fr": (" le ", " la ", " les ", " des ", " une ", " que ")}
 #: Words that open a dependent clause or phrase.
 SUBORDINATORS = frozenset("after although as because before if inasmuch insofar irrespective notwithstanding once provided since so subject than that though unless until when where whereas whether which while who whom whose without".split())
 
-_SPACE = re.compile(r"[^\S\n]+")
+#: Blanks other than the space, and invisible characters; signs that end a word.
+_BLANKS = {ord(c): " " for c in "\t\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"} | {ord(c): "\n" for c in "\r\x85\u2028\u2029"} | {ord(c): None for c in "\u200b\u200c\u200d\u2060\ufeff\xad"}
+_ODD = re.compile("[" + "".join(map(chr, _BLANKS)) + "]")
+_SIGNS = ',.;:!?"()[]'
 _HEAD_END = re.compile(r"(?i)^(?:decided|judgment of|judgment delivered|date of (?:decision|judgment|hearing)|handed down|delivered on)\b")
 _PAGE = re.compile(r"(?i)\b(?:page|sheet|folio|p\.)\s*\d+\b|\b[A-Z]{2,4}\s+\d+(?:-\d+)?/\d{4}\b.{0,20}$|^\W*\d{1,4}\W*$")
+_DIGIT = re.compile(r"\d")
 _ITEM = re.compile(r"^(?:\([a-z]{1,4}\)|[-•*–]|\([ivx]+\))\s")
 _NUMBER = re.compile(r"^(?:¶\s*\d+|§+\s*\d+|\[\d+\]|\(\d+\)|\d+[.)])\s+")
 _ORDER = re.compile(r"(?i)^order\s*:")
 _PAREN = re.compile(r"\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
-_CITE = re.compile(r"[;,]?\s*\b(?:see(?: also)?|cf\.|compare)\s(?=(?:[A-Z\[█_*]|s\.|ss\.|paras?\.|art\.)).*?(?:\.(?=\s+[A-Z\[█_*\"“]|\s*$)(?<!\bv\.)(?<!\bMr\.)(?<!\bNo\.)(?<!Harr\.)(?<!Vell\.)(?<!Lab\.)(?<!App\.)|(?=;))")
+_CITE = re.compile(r" (?:see(?: also)?|cf\.|compare) (?=(?:[A-Z\[█_*]|s\.|ss\.|paras?\.|art\.))")
+_CITE_END = re.compile(r"\.(?=\s+[A-Z\[█_*\"“]|\s*$)(?<!\bv\.)(?<!\bMr\.)(?<!\bNo\.)(?<!Harr\.)(?<!Vell\.)(?<!Lab\.)(?<!App\.)|;")
 _SPEAKER = re.compile(r"^(?:As to [^:.]{1,60}|[^:.,]{1,40}|(?:Mr|Ms|Mrs|Dr)\.? [^:]{1,40}?|[^:]{1,60}, through counsel)\s*:\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"“\[█_*¶]*[A-Z█_*\[])")
-_WORD = re.compile(r"[a-zà-öø-ÿ]+(?:['’][a-z]+)?")
+
+
+def plain(text: str) -> str:
+    """The text with ordinary blanks and line breaks, and without invisible characters."""
+    text = text.replace("\r\n", "\n")
+    return text.translate(_BLANKS) if _ODD.search(text) else text
 
 
 def language(text: str) -> str:
-    """``en``, ``de`` or ``fr`` by frequent words; empty if there are none."""
-    words = Counter(text.lower().split())
-    found = {lang: sum(words[w] for w in marks) for lang, marks in MARKERS.items()}
-    best = max(found, key=found.get)
-    return best if found[best] else ""
+    """``en``, ``de`` or ``fr`` by frequent words between blanks; empty if there are none."""
+    for form in (str, plain):
+        t = form(text)
+        found = {lang: sum(map(t.count, words)) for lang, words in MARKERS.items()}
+        best = max(found, key=found.get)
+        if found[best]:
+            return best
+    return ""
+
+
+def without_citations(text: str) -> str:
+    """The text with each citation, from its opening word to the end of its sentence or part, taken out."""
+    out, at = [], 0
+    for m in _CITE.finditer(text):
+        if m.start() >= at:
+            end = _CITE_END.search(text, m.end())
+            out += [text[at : m.start()].rstrip(" ;,"), "."]
+            at = end.end() - (end[0] == ";") if end else len(text)
+    return "".join([*out, text[at:]]) if at else text
 
 
 def body_text(text: str) -> str:
     """The running text of the paragraphs."""
     lines, gaps, gap = [], [], 0
-    for raw in _SPACE.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", "\n")).split("\n"):
-        line = raw.strip(" ​﻿­")
+    for raw in plain(text).split("\n"):
+        line = raw.strip(" ")
         if line:
             lines.append(line)
             gaps.append(gap)
@@ -65,7 +88,7 @@ def body_text(text: str) -> str:
         end = block
     parts: list[str] = []
     for line in body[:end]:
-        if len(line) < 90 and _PAGE.search(line) and not line.endswith("."):
+        if len(line) < 90 and line[-1] != "." and _DIGIT.search(line) and _PAGE.search(line):
             continue
         if _ITEM.match(line):
             continue
@@ -79,12 +102,25 @@ def body_text(text: str) -> str:
 
 def sentences(text: str) -> list[tuple[list[str], int]]:
     """Words in lower case, and the number of commas, semicolons and clause openers, of each sentence of the prose."""
-    out = []
-    for s in _SENTENCE.split(_CITE.sub(".", _PAREN.sub("", body_text(text)))):
-        s = _SPEAKER.sub("", s, 1) if ":" in s else s
-        words = _WORD.findall(s.lower())
+    return _sentences(body_text(text))
+
+
+def english_prose(text: str) -> tuple[str, list[tuple[list[str], int]]]:
+    """Language of the paragraphs, and their sentences if it is English."""
+    body = body_text(text)
+    lang = language(body)
+    return lang, _sentences(body) if lang == "en" else []
+
+
+def _sentences(body: str) -> list[tuple[list[str], int]]:
+    parts = [_SPEAKER.sub("", s, 1) if ":" in s else s for s in _SENTENCE.split(without_citations(_PAREN.sub("", body)))]
+    flat, out, opener = "\n".join(parts).lower(), [], SUBORDINATORS.__contains__
+    for sign in _SIGNS:
+        flat = flat.replace(sign, " ")
+    for s, line in zip(parts, flat.split("\n")):
+        words = [w for w in line.split() if w[0].isalpha()] if _DIGIT.search(line) else line.split()
         if len(words) >= 3:
-            out.append((words, s.count(",") + s.count(";") + sum(w in SUBORDINATORS for w in words)))
+            out.append((words, s.count(",") + s.count(";") + sum(map(opener, words))))
     return out
 
 
@@ -95,4 +131,4 @@ def quantile(values: list[float], q: float) -> float:
     return values[low] + (values[min(low + 1, len(values) - 1)] - values[low]) * (at - low)
 
 
-__all__ = ["body_text", "language", "quantile", "sentences"]
+__all__ = ["body_text", "english_prose", "language", "quantile", "sentences"]

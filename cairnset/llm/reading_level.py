@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnset.functions.text import letters_digits
-from cairnset.llm.court_prose import language, quantile, sentences
+from cairnset.llm.court_prose import english_prose, quantile
 from cairnset.storage import materialize
 
 
@@ -81,7 +81,7 @@ def word_grades(graded: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(u, int(round(level))) for text, level in zip(pdf["text"], pdf["level"]) if language(text) == "en" for u in set(_units(sentences(text)))]
+            rows = [(u, int(round(level))) for text, level in zip(pdf["text"], pdf["level"]) for u in set(_units(english_prose(text)[1]))]
             yield pd.DataFrame(rows, columns=["unit", "level"])
 
     met = graded.mapInPandas(units, "unit string, level int").groupBy("unit", "level").agg(F.count("*").alias("n"))
@@ -105,14 +105,15 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mo
         for pdf in batches:
             out = []
             for doc_id, text, level in zip(pdf["doc_id"], pdf["text"], pdf["level"]):
-                prose = sentences(text) if language(text) == "en" else []
+                prose = english_prose(text)[1]
                 if prose:
                     out.append((doc_id, level, _features(prose, grades, s.quantiles)))
             yield pd.DataFrame(out, columns=["doc_id", "level", "x"])
 
-    rows = graded.mapInPandas(described, "doc_id long, level double, x array<double>").orderBy("doc_id").collect()
+    rows = graded.mapInPandas(described, "doc_id long, level double, x array<double>").collect()
     if len(rows) < 10:
         return model
+    rows.sort(key=lambda r: r["doc_id"])
     x, y = np.array([r["x"] for r in rows]), np.array([r["level"] for r in rows])
     model.mean, model.sd = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([np.ones(len(x)), (x - model.mean) / model.sd])
@@ -150,8 +151,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, s: Settings = Settin
         for pdf in batches:
             out = []
             for doc_id, ruling, text in zip(pdf["doc_id"], pdf["ruling"], pdf["text"]):
-                lang = language(text)
-                prose = sentences(text) if lang == "en" else []
+                lang, prose = english_prose(text)
                 score = None
                 if prose and fitted:
                     x = (np.array(_features(prose, model.grades, s.quantiles)) - model.mean) / model.sd
