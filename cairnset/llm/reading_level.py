@@ -8,6 +8,7 @@ kind. Ridge regression on these quantiles, calibrated by cross-validation on the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cairnset.functions.text import letters_digits
 from cairnset.llm.court_prose import english_prose, quantile
+from cairnset.llm.related_splits import propagate_labels
 from cairnset.storage import materialize
 
 
@@ -25,7 +27,8 @@ from cairnset.storage import materialize
 class Settings:
     """``max_graded`` bounds the graded documents that the model is fitted on (smallest hash first); ``min_docs`` is
     in how many of them a word must stand to have a grade; ``share`` the part of a word's distribution that makes its
-    grade; ``max_words`` bounds the graded vocabulary (most frequent first), which is sent to all tasks."""
+    grade; ``max_words`` bounds the graded vocabulary (most frequent first), which is sent to all tasks;
+    ``same_prose`` the part of the sentences of the shorter of two versions that the other one has at least."""
 
     max_graded: int = 20_000
     min_docs: int = 4
@@ -33,6 +36,7 @@ class Settings:
     max_words: int = 200_000
     quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)
     ridge: float = 1.0
+    same_prose: float = 0.25
     withheld: str = r"(?i)^\W*(?:document|text|judgment|ruling)?\s*(?:withheld|redacted|removed|not available)\W*$"
 
 
@@ -64,9 +68,29 @@ def _features(prose: list[tuple[list[str], int]], grades: dict[str, float], quan
     return [*out, mean_grade, np.log(mean_len), np.sqrt(mean_nest), quantile(lens, 0.75) ** 0.5, mean_grade * np.log(mean_len), mean_grade**2]
 
 
-def ruling_key(docket: Column, decided: Column, doc_id: Column) -> Column:
-    """Docket in letters and digits with the date; a document without either is a ruling of its own."""
-    return F.when(docket.isNotNull() & decided.isNotNull() & (letters_digits(docket) != ""), F.concat_ws("|", letters_digits(docket), decided.cast("string"))).otherwise(F.concat(F.lit("#"), doc_id.cast("string")))
+def _sentence_hashes(prose: list[tuple[list[str], int]]) -> list[int]:
+    """One number for each distinct sentence, the same in all tasks."""
+    return list({int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for words, _ in prose})
+
+
+def ruling_links(prose: DataFrame, same_prose: float) -> DataFrame:
+    """``id, kind, first`` for :func:`propagate_labels`: two links for each pair of versions of one ruling.
+
+    ``prose``: ``doc_id, docket, decided, court, said`` (hashes of its sentences). Versions have the same docket and date,
+    and at least ``same_prose`` of the sentences of the shorter one in common; what is null in one of the two is made up
+    for by the same court. Sentences are the join key, so rulings that share docket and date only never meet.
+    """
+    short = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c)).alias(c)
+    said = prose.select("doc_id", short("docket"), "decided", short("court"), F.size("said").alias("size"), F.explode("said").alias("sentence"))
+    other = said.select(*[F.col(c).alias(f"o_{c}") for c in ("doc_id", "docket", "decided", "court", "size")], "sentence")
+    named = (F.col("docket") == F.col("o_docket")) & (F.col("decided") == F.col("o_decided"))
+    court = F.coalesce(F.col("court") == F.col("o_court"), F.lit(True))
+    apart = (F.col("docket") != F.col("o_docket")) | (F.col("decided") != F.col("o_decided"))
+    met = said.join(other, "sentence").where((F.col("doc_id") < F.col("o_doc_id")) & F.coalesce(named, ~F.coalesce(apart, F.lit(False)) & court))
+    common = met.groupBy("doc_id", "o_doc_id").agg(F.count("*").alias("n"), F.first(F.least("size", "o_size")).alias("most"))
+    pairs = common.where(F.col("n") >= same_prose * F.col("most"))
+    ends = F.explode(F.array("doc_id", "o_doc_id")).alias("id")
+    return pairs.select(ends, F.lit("v").alias("kind"), F.col("doc_id").alias("first"))
 
 
 def graded_documents(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -139,35 +163,35 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mo
 
 def reading_levels(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """``doc_id, lang, score, level`` for every document; ``level`` (1 to 5) and ``score`` are null unless the text has
-    English prose. Versions of a ruling (same docket and date, scores in one cluster) share the mean of their scores.
+    English prose. Versions of a ruling (same docket and date, and prose in common) share the mean of their scores.
 
     Null, blank and withheld texts have no level, nor have texts without a sentence in their paragraphs. If fewer than
     ten graded documents have prose, no document has a level. Extra columns are ignored.
     """
     model = model or fit(documents, labels, s)
     fitted = len(model.weights) > 1
+    named = ["doc_id", "docket", "decided", "court"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, ruling, text in zip(pdf["doc_id"], pdf["ruling"], pdf["text"]):
+            for row, text in zip(pdf[named].itertuples(index=False, name=None), pdf["text"]):
                 lang, prose = english_prose(text)
                 score = None
                 if prose and fitted:
                     x = (np.array(_features(prose, model.grades, s.quantiles)) - model.mean) / model.sd
                     score = float(model.weights[0] + x @ model.weights[1:])
-                out.append((doc_id, ruling, lang, score))
-            yield pd.DataFrame(out, columns=["doc_id", "ruling", "lang", "score"])
-
-    key = ruling_key(F.col("docket_no"), F.col("decided_on"), F.col("doc_id"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("ruling"), F.coalesce(F.when(~F.col("text").rlike(s.withheld), F.col("text")), F.lit("")).alias("text"))
-    scores = materialize(rows.mapInPandas(scored, "doc_id long, ruling string, lang string, score double"))
-    # several rulings may share docket and date; versions lie close together, so scores are cut into cells of a level's
-    # width around the ruling's own score
-    cell = F.floor(F.col("score") / 0.75)
-    near = scores.where("score IS NOT NULL").withColumn("cell", cell)
-    mean = near.groupBy("ruling", "cell").agg(F.avg("score").alias("shared"), F.count("*").alias("n"))
-    joined = near.join(mean.where("n > 1").select("ruling", "cell", "shared"), ["ruling", "cell"], "left").select("doc_id", "lang", F.coalesce("shared", "score").alias("score"))
+                out.append((*row, lang, score, None if score is None else _sentence_hashes(prose)))
+            yield pd.DataFrame(out, columns=[*named, "lang", "score", "said"])
+
+    known = lambda c: F.nullif(letters_digits(F.col(c)), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), known("docket_no").alias("docket"), F.col("decided_on").cast("date").alias("decided"), known("court_code").alias("court"), F.coalesce(F.when(~F.col("text").rlike(s.withheld), F.col("text")), F.lit("")).alias("text"))
+    scores = materialize(rows.mapInPandas(scored, "doc_id long, docket string, decided date, court string, lang string, score double, said array<long>"))
+    near = scores.where("score IS NOT NULL").select("doc_id", "lang", "score")
+    ruling = propagate_labels(ruling_links(scores.where("score IS NOT NULL"), s.same_prose)).select(F.col("id").alias("doc_id"), "label")
+    versions = materialize(near.join(ruling, "doc_id", "left"))
+    mean = versions.where("label IS NOT NULL").groupBy("label").agg(F.avg("score").alias("shared"))
+    joined = versions.join(mean, "label", "left").select("doc_id", "lang", F.coalesce("shared", "score").alias("score"))
     level = F.lit(1)
     for c in model.cuts:
         level = level + F.when(F.col("score") >= c, 1).otherwise(0)

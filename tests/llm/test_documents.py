@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import numpy as np
@@ -130,6 +131,34 @@ def test_reading_levels(spark):
     assert reading_level.level_profile(df.limit(0), labels).count() == 0
 
 
+def test_versions_of_a_ruling_are_found_by_their_prose(spark):
+    r, rows = random.Random(4), []
+    words = ["door", "key", "mill", "court", "boat", "road", "field", "barn", "cart", "well", "fence", "horse"]
+    easy, hard = "The boy shut the {} and the {} of the {} at night.", "The {} authority presupposes, notwithstanding the {}, that the cumulative prerequisites, whose significance derives from it, are met by the {}."
+
+    def text(share):
+        body = " ".join((hard if i < 24 * share else easy).format(*r.sample(words, 3)) for i in range(24))
+        return f"COURT\nDocket X\nDecided: 2001-01-01\n\n1. {body}\n\nAppeal dismissed.\nOrder: none."
+
+    day = datetime.date(2001, 1, 1)
+    for i in range(80):
+        rows.append((i, text(i % 2), f"HRC {i}-00/2001", day, "HRC", 1 + 4 * (i % 2)))
+    # 40 unrelated rulings of one docket and date, with prose from easy to hard
+    rows += [(100 + i, text(i / 39), "MC 1/2014", day, "MC", None) for i in range(40)]
+    # versions far apart in score, the docket or the date missing in one; another court; another date
+    whole = text(0.5)
+    part = whole[: whole.index("The boy", whole.index("The boy") + 1)] + "\n\nAppeal dismissed.\nOrder: none."
+    rows += [(200, whole, "LTB 9/2001", day, "LTB", None), (201, part, "ltb 9-2001", day, "LTB", None), (202, part, None, day, "LTB", None), (203, part, "LTB 9/2001", None, "LTB", None), (204, part, None, day, "DCE", None), (205, part, "LTB 9/2001", datetime.date(2002, 1, 1), "DCE", None)]
+    df = spark.createDataFrame([x[:5] for x in rows], "doc_id long, text string, docket_no string, decided_on date, court_code string")
+    labels = spark.createDataFrame([(x[0], "r", x[5]) for x in rows if x[5]], "doc_id long, rater string, reading_level int")
+    model = reading_level.fit(df, labels)
+    score = lambda d: {x["doc_id"]: x["score"] for x in reading_level.reading_levels(d, labels, model=model).collect()}
+    got, alone = score(df), score(df.withColumn("docket_no", F.concat(F.lit("own "), "doc_id")))
+    assert all(got[i] == pytest.approx(alone[i]) for i in [*range(80), *range(100, 140), 204, 205])
+    shared = sum(alone[i] for i in range(200, 204)) / 4
+    assert abs(alone[200] - alone[201]) > 0.1 and all(got[i] == pytest.approx(shared) for i in range(200, 204))
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "a" * 20_000)], "id int, text string")
     got = {r["id"]: r["n"] for r in df.select("id", tokens.token_count(F.col("text")).alias("n")).collect()}
