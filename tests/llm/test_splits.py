@@ -109,3 +109,15 @@ def test_splits_of_nothing_and_null_labels(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     out = rs.assign_splits(df, rs.related_groups(df), targets).collect()
     assert len(out) == 20 and {r["split"] for r in out} == {"train"}
+
+
+def test_pairs_at_the_limit_of_edits_are_found(spark):
+    r, rows = random.Random(3), []
+    for i in range(600):
+        text = [r.choice("CCCcccNOSF()=1234") for _ in range(40)]
+        edited = list(text)
+        for at in r.sample(range(40), 6):
+            edited[at] = r.choice("BPIK")
+        rows += [(2 * i, "".join(text), "train"), (2 * i + 1, "".join(edited), "val")]
+    df = spark.createDataFrame(rows, "mol_id long, smiles string, split string")
+    assert cs.split_overlaps(df).count() >= 590
