@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnset.operators.selection import top_in_group
+from cairnset.storage import materialize
 
 
 def limits(points: DataFrame) -> dict[str, float]:
@@ -33,6 +34,30 @@ def with_hex(points: DataFrame, nbins: int, box: dict[str, float]) -> DataFrame:
     return at.withColumns({"hex_id": hex_id, "cx": cx, "cy": cy}).drop("_u", "_v", "_i1", "_j1", "_i2", "_j2")
 
 
+def nearest_first(points: DataFrame, from_rows: str, to_rows: str, n: int) -> DataFrame:
+    """``id, d2``: the first ``n`` points of ``from_rows`` by squared distance to the nearest point of ``to_rows`` (ties:
+    smallest id). Points meet within a square cell and its neighbours, which hold every pair up to a cell's side apart;
+    the side is doubled until ``n`` are found within it, or cells hold all points."""
+    known = points.where("x IS NOT NULL AND y IS NOT NULL")
+    a, to = known.where(from_rows).select("id", "x", "y"), materialize(known.where(to_rows).select(F.col("x").alias("tx"), F.col("y").alias("ty")).distinct())
+    box, wanted, n_to = limits(known), a.limit(n).count(), to.count()
+    if not wanted or not n_to:
+        return a.select("id", F.lit(0.0).alias("d2")).limit(0)
+    extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"]) or 1.0
+    side = extent / max(1.0, math.sqrt(n_to))
+    cell = lambda c, low: F.floor((F.col(c) - box[low]) / F.lit(side))
+    around = lambda c: F.sequence(c - 1, c + 1)
+    while True:
+        rings = a.withColumn("i", F.explode(around(cell("x", "x0")))).withColumn("j", F.explode(around(cell("y", "y0"))))
+        met = rings.join(to.select("tx", "ty", cell("tx", "x0").alias("i"), cell("ty", "y0").alias("j")), ["i", "j"])
+        near = met.groupBy("id").agg(F.min((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2).alias("d2"))
+        within = near if side > extent else near.where(F.col("d2") <= side**2)
+        first = materialize(within.orderBy("d2", "id").limit(n))
+        if side > extent or first.count() >= wanted:
+            return first.orderBy("d2", "id")
+        side *= 2
+
+
 def hex_table(points: DataFrame) -> DataFrame:
     """``hex_id, n, mass, n_decoys`` of points with ``hex_id, mass, is_decoy``."""
     return points.groupBy("hex_id").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"), F.count_if("is_decoy").alias("n_decoys"))

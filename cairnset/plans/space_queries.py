@@ -88,11 +88,8 @@ def empirical_cdf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nearest_active_in_space(spark: SparkSession, sf: str) -> DataFrame:
-    """Decoys by distance to the centre of the nearest bin that holds an active, first 30: bins are as few as the grid."""
-    b = _binned(spark, sf)
-    centres = b.where("label = 0").select("cx", "cy").distinct()
-    near = b.where("is_decoy").select("id", "x", "y").join(F.broadcast(centres)).groupBy("id").agg(F.min((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2).alias("d2"))
-    return near.orderBy("d2", "id").limit(30).select("id", F.round(F.sqrt("d2"), 6).alias("distance"))
+    """Decoys by distance to the nearest active, first 30."""
+    return hexbin.nearest_first(points(spark, sf), "is_decoy", "label = 0", 30).select("id", F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 def unit_mass(spark: SparkSession, sf: str) -> DataFrame:

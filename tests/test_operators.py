@@ -2,11 +2,14 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairnset.functions import fingerprints as fp
 from cairnset.operators import compounds, graph, hexbin, metrics, running, selection, similarity
+from cairnset.plans import space_queries
+from cairnset.plans.tables import points
 
 
 def sets(n, seed=1):
@@ -200,3 +203,22 @@ def test_folds_partition_and_balance(spark):
     for y in (0, 1):
         n = [r["n"] for r in out if r["y"] == y]
         assert len(n) == 5 and max(n) - min(n) <= 1
+
+
+@pytest.mark.parametrize("n_far", [5, 300])
+def test_nearest_first_equals_all_pairs(spark, n_far):
+    r = np.random.default_rng(8)
+    xy = np.concatenate([r.normal(0, 1, (300, 2)), r.normal(0, 1, (n_far, 2)) + (0 if n_far > 5 else 50)])
+    df = spark.createDataFrame([(i, float(x), float(y), i < 300) for i, (x, y) in enumerate(xy)], "id long, x double, y double, is_decoy boolean")
+    d2 = ((xy[:300, None] - xy[None, 300:]) ** 2).sum(2).min(1)
+    got = [(x["id"], x["d2"]) for x in hexbin.nearest_first(df, "is_decoy", "NOT is_decoy", 30).collect()]
+    want = np.argsort(d2, kind="stable")[:30]
+    assert [i for i, _ in got] == want.tolist() and np.allclose([d for _, d in got], d2[want])
+
+
+def test_nearest_active_query_equals_all_pairs(spark, sf_dir):
+    rows = points(spark, sf_dir).collect()
+    to = np.array([(r["x"], r["y"]) for r in rows if r["label"] == 0])
+    want = sorted((float(np.sqrt(((to - (r["x"], r["y"])) ** 2).sum(1).min())), r["id"]) for r in rows if r["is_decoy"])[:30]
+    got = {r["id"]: r["distance"] for r in space_queries.nearest_active_in_space(spark, sf_dir).collect()}
+    assert set(got) == {i for _, i in want} and all(abs(got[i] - d) < 1e-6 for d, i in want)
