@@ -121,3 +121,27 @@ def test_pairs_at_the_limit_of_edits_are_found(spark):
         rows += [(2 * i, "".join(text), "train"), (2 * i + 1, "".join(edited), "val")]
     df = spark.createDataFrame(rows, "mol_id long, smiles string, split string")
     assert cs.split_overlaps(df).count() >= 590
+
+
+def test_hot_block_keys_are_dealt_to_pieces_without_loss(spark):
+    r = random.Random(4)
+    core = [r.choice("CCCcccNOSF()=1234") for _ in range(60)]
+    rows = []
+    for i in range(400):  # one family of like texts: all rows share their block keys
+        text = list(core)
+        for at in r.sample(range(60), 2):
+            text[at] = r.choice("BPIK")
+        rows.append((i, "".join(text), "train" if i % 4 else "test"))
+    df = spark.createDataFrame(rows, "mol_id long, smiles string, split string")
+    plan = cs.Plan(hot_rows=20, hot_share=0.05)
+    coded = cs.similarity_codes(df.select("mol_id", F.col("smiles").alias("text"), F.lit(True).alias("on_train")), *plan.blocks(400), plan)
+    assert cs._hot_keys(coded, 20).count() > 0
+    whole = {(x["train_id"], x["eval_id"]) for x in cs.split_overlaps(df, plan=plan).collect()}
+    assert len(whole) == sum(1 for _, _, a in rows for _, _, b in rows if a == "train" and b == "test")
+
+
+def test_report_counts_classes_as_pairs(spark):
+    rows = [(1, "CCCCCCCCCC", "train", "a"), (2, "CCCCCCCCCC", "train", "a"), (3, "CCCCCCCCCC", "val", "b"), (4, "CCCCCCCCC N", "val", "b"), (5, "CCCCCCCCCC", "test", None), (6, "OOOOOOOOOO", "test", None)]
+    df = spark.createDataFrame(rows, "mol_id long, smiles string, split string, source string")
+    got = {(r["split"], r["source"]): tuple(r)[2:] for r in cs.overlap_report(df).collect()}
+    assert got == {("val", "b"): (2, 4, 2, 2), ("test", None): (2, 2, 2, 1)}
