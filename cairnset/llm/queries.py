@@ -31,7 +31,7 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_subsets(spark: SparkSession, sf: str) -> DataFrame:
     medoids = _table(spark, sf, "npy_medoids")
-    labels = mixture_clusters.cluster_labels(medoids).select("id", "label")
+    labels = mixture_clusters.cluster_labels(medoids).select("id", "label", "region")
     return varied_subset.choose_subsets(medoids, labels, _table(spark, sf, "library_info"), _table(spark, sf, "subset_targets"))
 
 

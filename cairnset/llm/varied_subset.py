@@ -2,98 +2,79 @@
 
 Method: minimum-cost flow quotas. Records are counted by combination of library, structure region and depth, where
 depth says how many members of the same similarity group come before a record. Flow goes from the source through
-libraries and combinations to regions and the sink; libraries and regions have balanced targets with convex penalties
-for overuse, and deeper members of a group cost more, so that large groups do not fill the subset. The flow through a
-combination is its quota, which its records fill in order of a fixed rank. The network is as large as the categories.
+libraries and combinations to regions and the sink. Each further unit through a library or region costs more than the
+one before, so that costs are strictly convex: libraries are served alike as far as their stock goes, then regions,
+against the price of going deeper into a group. The flow through a combination is its quota, which its records fill in
+order of a fixed rank. The network is as large as the categories. Groups are the clusters of problem 5, regions the
+components of its first mixture.
 """
 
 from __future__ import annotations
 
-import heapq
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnset.functions.text import letters_digits
+from cairnset.operators.running import running_totals
 from cairnset.storage import materialize
 
 
-class FlowNetwork:
-    """Minimum-cost flow by successive shortest paths with potentials; costs are non-negative integers."""
-
-    def __init__(self) -> None:
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-        self.out: dict[int, list[int]] = {}
-
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out.setdefault(x, []).append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
-
-    def send(self, s: int, t: int, amount: int) -> int:
-        """Sends up to ``amount``; the flow of an arc is the room of its reverse."""
-        high, sent = dict.fromkeys(self.out, 0), 0
-        while sent < amount:
-            dist, via, heap = {s: 0}, {}, [(0, s)]
-            while heap:
-                d, a = heapq.heappop(heap)
-                if d > dist[a]:
-                    continue
-                for e in self.out[a]:
-                    if self.room[e] > 0:
-                        b, nd = self.to[e], d + self.cost[e] + high[a] - high[self.to[e]]
-                        if nd < dist.get(b, nd + 1):
-                            dist[b], via[b] = nd, e
-                            heapq.heappush(heap, (nd, b))
-            if t not in dist:
-                break
-            for a in high:
-                high[a] += min(dist.get(a, dist[t]), dist[t])
-            step, b = amount - sent, t
-            while b != s:
-                step, b = min(step, self.room[via[b]]), self.to[via[b] ^ 1]
-            b = t
-            while b != s:
-                self.room[via[b]] -= step
-                self.room[via[b] ^ 1] += step
-                b = self.to[via[b] ^ 1]
-            sent += step
-        return sent
-
+def quotas(counts: dict[tuple[str, int, int], int], amount: int, steps: int = 8192) -> dict[tuple[str, int, int], int]:
+    """Quota of each ``(library, region, level)``; all there is, if the amount exceeds it.
 
-def quotas(counts: dict[tuple[str, int, int], int], amount: int) -> dict[tuple[str, int, int], int]:
-    """Quota of each ``(library, region, depth class)``; all there is, if the amount exceeds it."""
+    Minimum-cost flow by successive shortest paths. A unit through a library costs as many times its price as units
+    went before, a unit through a region likewise, and a level a region's even share. A library's price is above all that
+    regions and levels can cost, so libraries differ by one unit at most unless their stock ends. Amounts beyond
+    ``steps`` are sent in parcels, and alike to within a parcel.
+    """
     if amount >= sum(counts.values()):
         return dict(counts)
     libs, regions = sorted({k[0] for k in counts}), sorted({k[1] for k in counts})
-    lib_at = {v: 2 + i for i, v in enumerate(libs)}
-    reg_at = {v: 2 + len(libs) + i for i, v in enumerate(regions)}
-    net, total = FlowNetwork(), sum(counts.values())
-
-    def balanced(a: int, b: int, parts: int, unit: int) -> None:
-        share = max(1, -(-amount // parts))
-        for k, price in ((1, 0), (1, 1), (2, 3), (4, 9)):
-            net.arc(a, b, share * k, price * unit)
-        net.arc(a, b, total, 27 * unit)
-
-    for v in libs:
-        balanced(0, lib_at[v], len(libs), 1)
-    for v in regions:
-        balanced(reg_at[v], 1, len(regions), 1)
-    arcs = {key: net.arc(lib_at[key[0]], reg_at[key[1]], n, 8 * key[2]) for key, n in sorted(counts.items())}
-    net.send(0, 1, amount)
-    return {key: net.room[e + 1] for key, e in arcs.items() if net.room[e + 1]}
-
-
-def region(bits: Column, n_regions: int) -> Column:
-    """Structure region of a fingerprint: the on-bit of smallest hash, which similar fingerprints mostly share."""
-    least = F.array_min(F.transform(bits, lambda b: F.struct(F.xxhash64(b).alias("h"), b.alias("b"))))
-    return F.coalesce(F.pmod(F.xxhash64(least["b"], F.lit(3)), F.lit(n_regions)), F.lit(0)).cast("int")
+    levels = 1 + max(k[2] for k in counts)
+    room = np.zeros((len(libs), len(regions), levels), np.int64)
+    for (v, r, level), n in counts.items():
+        room[libs.index(v), regions.index(r), level] = n
+    used, parcel = np.zeros_like(room), max(1, amount // steps)
+    deep = max(1, amount // (parcel * len(regions)))
+    dear = amount // parcel + 2 * deep * levels + 2
+    never, place = np.iinfo(np.int64).max // 4, np.arange(levels)
+    sent = 0
+    while sent < amount:
+        left = room - used
+        # the cheapest level with room, and the dearest one in use, of each library and region
+        go = np.where((left > 0).any(2), (left > 0).argmax(2), levels)
+        back = np.where((used > 0).any(2), levels - 1 - (used[:, :, ::-1] > 0).argmax(2), -1)
+        cost, gain = np.where(go < levels, go * deep, never), np.where(back >= 0, back * deep, -never)
+        at_lib, at_region = -(-used.sum((1, 2)) // parcel) * dear, np.full(len(regions), never)
+        via_lib, via_region = np.full(len(libs), -1), np.zeros(len(regions), np.int64)
+        while True:  # Bellman-Ford between the two sides
+            reach = at_lib[:, None] + cost
+            best = reach.argmin(0)
+            nearer = reach.min(0) < at_region
+            at_region, via_region = np.where(nearer, reach.min(0), at_region), np.where(nearer, best, via_region)
+            undo = np.where(gain > -never, at_region[None, :] - gain, never)
+            closer = undo.min(1) < at_lib
+            if not closer.any():
+                break
+            at_lib, via_lib = np.where(closer, undo.min(1), at_lib), np.where(closer, undo.argmin(1), via_lib)
+        # among regions at equal cost, the one that fewest units went through for its stock
+        through = used.sum((0, 2))
+        r = int(np.argmin(at_region + -(-through // parcel)))
+        path, first = [], None
+        while first is None:
+            v = int(via_region[r])
+            path.append((v, r, int(go[v, r]), 1))
+            if via_lib[v] < 0:
+                first = v
+            else:
+                r = int(via_lib[v])
+                path.append((v, r, int(back[v, r]), -1))
+        step = min(parcel, amount - sent, *(int(left[v, r, k]) if sign > 0 else int(used[v, r, k]) for v, r, k, sign in path))
+        for v, r, k, sign in path:
+            used[v, r, k] += sign * step
+        sent += step
+    return {(libs[v], regions[r], int(k)): int(used[v, r, k]) for v, r, k in zip(*np.nonzero(used))}
 
 
 def latest_medoids(medoids: DataFrame, libraries: DataFrame) -> DataFrame:
@@ -104,15 +85,16 @@ def latest_medoids(medoids: DataFrame, libraries: DataFrame) -> DataFrame:
     return rows.groupBy("lib", "medoid_index").agg(last).select("lib", "medoid_index", "r.*").join(F.broadcast(known), "lib").select("medoid_id", F.col("lib_name").alias("library"), "kind", "medoid_index", "bits")
 
 
-def choose_subsets(medoids: DataFrame, labels: DataFrame, libraries: DataFrame, targets: DataFrame, n_regions: int = 16, tall: int = 1000) -> DataFrame:
+def choose_subsets(medoids: DataFrame, labels: DataFrame, libraries: DataFrame, targets: DataFrame, tall: int = 1000) -> DataFrame:
     """``subset_name, medoid_id, library, medoid_index, group_id, depth``.
 
-    ``labels``: ``id, label`` of similarity groups; a medoid without one is a group of its own. A target beyond what
-    exists takes all of it; a null or non-positive one nothing. Ties are settled by a hash of the id.
+    ``labels``: ``id, label, region`` of similarity groups; a medoid without one has no structure to show, is a group of
+    its own in a region of its own kind, and is chosen last. A target beyond what exists takes all of it; a null or
+    non-positive one nothing. Ties are settled by a hash of the id.
     """
     rows = latest_medoids(medoids, libraries)
-    lab = labels.select(F.col("id").alias("medoid_id"), "label")
-    grouped = materialize(rows.join(lab, "medoid_id", "left").select("medoid_id", "library", "kind", "medoid_index", F.coalesce("label", "medoid_id").alias("group_id"), region(F.col("bits"), n_regions).alias("region")))
+    lab = labels.select(F.col("id").alias("medoid_id"), "label", F.col("region").alias("r"))
+    grouped = materialize(rows.join(lab, "medoid_id", "left").select("medoid_id", "library", "kind", "medoid_index", F.coalesce("label", "medoid_id").alias("group_id"), F.coalesce("r", F.lit(-2)).cast("long").alias("region"), F.col("label").isNull().alias("blank")))
     parts = []
     for kind in [r["lib_kind"] for r in targets.select("lib_kind").distinct().collect()]:  # a parameter table
         wanted = [(r["subset_name"], int(r["n_select"])) for r in targets.where(F.col("lib_kind").eqNullSafe(kind) & (F.col("n_select") > 0)).orderBy("subset_name").collect()]
@@ -121,20 +103,16 @@ def choose_subsets(medoids: DataFrame, labels: DataFrame, libraries: DataFrame,
         stacks = pool.groupBy("group_id").agg(F.ceil(F.count("*") / tall).alias("stacks"))
         dealt = pool.join(stacks, "group_id").withColumn("stack", F.pmod(F.xxhash64("medoid_id"), F.col("stacks")))
         rn = F.row_number().over(Window.partitionBy("group_id", "stack").orderBy(F.xxhash64("medoid_id", F.lit(1)), "medoid_id"))
-        deep = dealt.withColumn("depth", (rn - 1) * F.col("stacks") + F.col("stack")).withColumn("level", F.floor(F.log2(F.col("depth") + 1)).cast("int"))
+        level = F.when(F.col("blank"), F.lit(24)).otherwise(F.least(F.floor(F.log2(F.col("depth") + 1)), F.lit(23))).cast("int")
+        deep = dealt.withColumn("depth", (rn - 1) * F.col("stacks") + F.col("stack")).withColumn("level", level)
         deep = materialize(deep.select("medoid_id", "library", "medoid_index", "group_id", "region", "depth", "level"))
         counts = {(r["library"], r["region"], r["level"]): r["n"] for r in deep.groupBy("library", "region", "level").agg(F.count("*").alias("n")).collect()}  # one row a combination
-        plan = [(name, *key, q, q >= counts[key]) for name, amount in wanted for key, q in quotas(counts, amount).items()]
-        quota = medoids.sparkSession.createDataFrame(plan, "subset_name string, library string, region int, level int, q long, all_of_it boolean")
-        asked = deep.join(F.broadcast(quota), ["library", "region", "level"])
-        order = ["depth", F.xxhash64("medoid_id", F.lit(2)), "medoid_id"]
-        combo = ["subset_name", "library", "region", "level"]
-        # the best of each salt, then the best of those: no combination is ranked whole in one task
-        some = asked.where("NOT all_of_it").withColumn("salt", F.pmod(F.xxhash64("medoid_id", F.lit(9)), F.lit(32)))
-        some = some.withColumn("rn", F.row_number().over(Window.partitionBy(*combo, "salt").orderBy(*order))).where("rn <= q")
-        some = some.withColumn("rn", F.row_number().over(Window.partitionBy(*combo).orderBy(*order))).where("rn <= q")
-        out = ["subset_name", "medoid_id", "library", "medoid_index", "group_id", "depth"]
-        parts.append(asked.where("all_of_it").select(*out).unionByName(some.select(*out)))
+        plan = [(name, *key, q) for name, amount in wanted for key, q in quotas(counts, amount).items()]
+        quota = medoids.sparkSession.createDataFrame(plan, "subset_name string, library string, region long, level int, q long")
+        # ranks come from ordered ranges of the whole table: no combination is ranked in one task
+        ranked = running_totals(deep, ["library", "region", "level"], [F.col("depth"), F.xxhash64("medoid_id", F.lit(2)), F.col("medoid_id")], {"rank": F.lit(1)})
+        asked = ranked.join(F.broadcast(quota), ["library", "region", "level"]).where("rank <= q")
+        parts.append(asked.select("subset_name", "medoid_id", "library", "medoid_index", "group_id", "depth"))
     chosen = medoids.sparkSession.createDataFrame([], "subset_name string, medoid_id long, library string, medoid_index long, group_id long, depth long")
     for p in parts:
         chosen = chosen.unionByName(p)
