@@ -127,17 +127,20 @@ def test_hot_block_keys_are_dealt_to_pieces_without_loss(spark):
     r = random.Random(4)
     core = [r.choice("CCCcccNOSF()=1234") for _ in range(60)]
     rows = []
-    for i in range(400):  # one family of like texts: all rows share their block keys
+    for i in range(200):  # a third of the rows are one family of like texts, which share their block keys
         text = list(core)
         for at in r.sample(range(60), 2):
             text[at] = r.choice("BPIK")
         rows.append((i, "".join(text), "train" if i % 4 else "test"))
+    family = len(rows)
+    rows += [(family + i, "".join(r.choice("CCCcccNOSF()=1234") for _ in range(60)), "train" if i % 4 else "test") for i in range(400)]
     df = spark.createDataFrame(rows, "mol_id long, smiles string, split string")
     plan = cs.Plan(hot_rows=20, hot_share=0.05)
-    coded = cs.similarity_codes(df.select("mol_id", F.col("smiles").alias("text"), F.lit(True).alias("on_train")), *plan.blocks(400), plan)
+    coded = cs.similarity_codes(df.select("mol_id", F.col("smiles").alias("text"), F.lit(True).alias("on_train")), *plan.blocks(600), plan)
     assert cs._hot_keys(coded, 20).count() > 0
     whole = {(x["train_id"], x["eval_id"]) for x in cs.split_overlaps(df, plan=plan).collect()}
-    assert len(whole) == sum(1 for _, _, a in rows for _, _, b in rows if a == "train" and b == "test")
+    assert len(whole) >= 0.85 * sum(1 for _, _, a in rows[:family] for _, _, b in rows[:family] if a == "train" and b == "test")
+    assert whole == {(x["train_id"], x["eval_id"]) for x in cs.split_overlaps(df).collect()}  # pieces change nothing
 
 
 def test_report_counts_classes_as_pairs(spark):
