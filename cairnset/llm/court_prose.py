@@ -22,7 +22,12 @@ _NUMBER = re.compile(r"^(?:¶\s*\d+|§+\s*\d+|\[\d+\]|\(\d+\)|\d+[.)])\s+")
 _ORDER = re.compile(r"(?i)^order\s*:")
 _PAREN = re.compile(r"\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)")
 _CITE = re.compile(r" (?:see(?: also)?|cf\.|compare) (?=(?:[A-Z\[█_*]|s\.|ss\.|paras?\.|art\.))")
-_CITE_END = re.compile(r"\.(?=\s+[A-Z\[█_*\"“]|\s*$)(?<!\bv\.)(?<!\bMr\.)(?<!\bNo\.)(?<!Harr\.)(?<!Vell\.)(?<!Lab\.)(?<!App\.)|;")
+_STOP = re.compile(r"\.(?=\s+[A-Z\[█_*\"“]|\s*$)|;")
+#: Titles and short forms that a stop follows within a sentence, and what may follow the stop of an abbreviation: a number
+#: or another abbreviation.
+_SHORT = re.compile(r"(?:\b(?:v|Mr|Ms|Mrs|Dr|No|Nos|s|ss|para|paras|art))\Z")
+_ABBREVIATION = re.compile(r"(?:^|[\s(.])[A-Z][a-z]{0,4}\Z")
+_GOES_ON = re.compile(r"\.\s+(?:\d|[A-Z][A-Za-z]{0,4}\.)")
 _SPEAKER = re.compile(r"^(?:As to [^:.]{1,60}|[^:.,]{1,40}|(?:Mr|Ms|Mrs|Dr)\.? [^:]{1,40}?|[^:]{1,60}, through counsel)\s*:\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"“\[█_*¶]*[A-Z█_*\[])")
 
@@ -44,12 +49,22 @@ def language(text: str) -> str:
     return ""
 
 
+def _citation_end(text: str, at: int) -> re.Match | None:
+    """The first stop or semicolon that is not an abbreviation's: short capitalised words before a number or another such
+    word, and titles."""
+    for end in _STOP.finditer(text, at):
+        before = text[max(0, end.start() - 12) : end.start()]
+        if end[0] == ";" or not (_SHORT.search(before) or (_ABBREVIATION.search(before) and _GOES_ON.match(text, end.start()))):
+            return end
+    return None
+
+
 def without_citations(text: str) -> str:
     """The text with each citation, from its opening word to the end of its sentence or part, taken out."""
     out, at = [], 0
     for m in _CITE.finditer(text):
         if m.start() >= at:
-            end = _CITE_END.search(text, m.end())
+            end = _citation_end(text, m.end())
             out += [text[at : m.start()].rstrip(" ;,"), "."]
             at = end.end() - (end[0] == ";") if end else len(text)
     return "".join([*out, text[at:]]) if at else text

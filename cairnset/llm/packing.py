@@ -104,7 +104,7 @@ def plan_containers(lengths: np.ndarray, counts: np.ndarray, capacity: int, dept
     return plans
 
 
-def pack_items(items: DataFrame, sizes: DataFrame, bins: int = 512, depth: int = 3, window: float = 0.02) -> DataFrame:
+def pack_items(items: DataFrame, sizes: DataFrame, bins: int = 512, depth: int = 3, window: float = 0.02, rank_rows: int = 100_000) -> DataFrame:
     """``pack_name, capacity, container_id, item_id, piece, n_tokens``.
 
     ``items``: ``item_id, n_tokens``; ``sizes``: ``pack_name, capacity_tokens``. An item longer than a capacity gives
@@ -120,10 +120,11 @@ def pack_items(items: DataFrame, sizes: DataFrame, bins: int = 512, depth: int =
     every = items.where("n_tokens > 0").select("item_id", F.col("n_tokens").cast("long").alias("size"), F.inline(per_pack))
     whole = F.floor((F.col("size") - 1) / F.col("capacity"))
     cut = every.withColumn("whole", whole).withColumn("rest", (F.col("size") - F.col("whole") * F.col("capacity")).cast("int"))
-    # classes by length; 16 salts spread each class over as many tasks
-    cut = cut.withColumn("cls", F.floor((F.col("rest") - 1) / F.col("width")).cast("int")).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(16)).cast("int"))
-    cut = materialize(cut.select("pack_name", "capacity", "item_id", "size", "whole", "rest", "cls", "salt"))
-    hist = cut.groupBy("pack_name", "cls", "salt").agg(F.count("*").alias("n"), F.max("rest").alias("longest")).collect()  # packs x bins x 16 rows
+    # classes by length; the salts of a class follow its count, so that a task ranks about ``rank_rows`` items
+    cut = materialize(cut.withColumn("cls", F.floor((F.col("rest") - 1) / F.col("width")).cast("int")).select("pack_name", "capacity", "item_id", "size", "whole", "rest", "cls"))
+    salts = cut.groupBy("pack_name", "cls").agg(F.ceil(F.count("*") / F.lit(rank_rows)).cast("int").alias("salts"))  # packs x bins rows
+    cut = cut.join(F.broadcast(salts), ["pack_name", "cls"]).withColumn("salt", F.pmod(F.xxhash64("item_id"), F.col("salts")).cast("int"))
+    hist = cut.groupBy("pack_name", "cls", "salt").agg(F.count("*").alias("n"), F.max("rest").alias("longest")).collect()  # packs x bins rows, and one for each ``rank_rows`` items more
     by_pack: dict[str, dict[int, list]] = {}
     for r in hist:
         by_pack.setdefault(r["pack_name"], {}).setdefault(r["cls"], []).append((r["salt"], r["n"], r["longest"]))
@@ -157,7 +158,8 @@ def pack_items(items: DataFrame, sizes: DataFrame, bins: int = 512, depth: int =
 
 def pack_documents(documents: DataFrame, sizes: DataFrame, path: str = DEFAULT_RANKS, **kw) -> DataFrame:
     """Texts of ``documents`` in containers of each capacity; null and empty texts need no place."""
-    return pack_items(sized_texts(documents, path).withColumnRenamed("doc_id", "item_id"), sizes, **kw)
+    # written once: a filter on the sizes would have each text tokenized again
+    return pack_items(materialize(sized_texts(documents, path).withColumnRenamed("doc_id", "item_id")), sizes, **kw)
 
 
 def pack_report(packed: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Reading level of each document (problem 9).
 
 Method: from the documents that raters have graded comes, for each word, the distribution of levels it is met at; the
-level by which a stated share of it has appeared is the word's acquisition grade. A document is described by quantiles
-of the grades of its known words. Length and nesting of sentences are graded in the same way, as words of their own
-kind. Ridge regression on these quantiles, calibrated by cross-validation on the graded documents, predicts the level.
+level by which a stated share of it has appeared is the word's acquisition grade. Lengths and nestings of sentences are
+graded in the same way, as words of their own kinds. A document is described by quantiles and means of the grades of its
+known words, of its sentences' lengths, of their nestings, and of the latter two together. For each step between levels,
+logistic regression on these numbers, calibrated on the graded documents, says on which side a document is.
 """
 
 from __future__ import annotations
@@ -25,16 +26,15 @@ from cairnset.storage import materialize
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_graded`` bounds the graded documents that the model is fitted on (smallest hash first); ``min_docs`` is
-    in how many of them a word must stand to have a grade; ``share`` the part of a word's distribution that makes its
-    grade; ``max_words`` bounds the graded vocabulary (most frequent first), which is sent to all tasks;
-    ``same_prose`` the part of the sentences of the shorter of two versions that the other one has at least."""
+    """``max_graded`` bounds the graded documents that the model is fitted on (smallest hash first), and with them the
+    vocabulary; ``min_docs`` is in how many of them a word must stand to have a grade; ``share`` the part of a word's
+    distribution that makes its grade; ``same_prose`` the part of the sentences of the shorter of two versions that the
+    other one has at least."""
 
     max_graded: int = 20_000
     min_docs: int = 4
     share: float = 0.5
-    max_words: int = 200_000
-    quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)
+    quantiles: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)
     ridge: float = 1.0
     same_prose: float = 0.25
     withheld: str = r"(?i)^\W*(?:document|text|judgment|ruling)?\s*(?:withheld|redacted|removed|not available)\W*$"
@@ -42,30 +42,42 @@ class Settings:
 
 @dataclass
 class Model:
+    """``weights``: one row for each step between levels; empty if there was nothing to fit."""
+
     grades: dict[str, float]
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     sd: np.ndarray = field(default_factory=lambda: np.ones(1))
-    cuts: tuple[float, ...] = (1.5, 2.5, 3.5, 4.5)
     held_out: float = float("nan")
 
 
-def _units(prose: list[tuple[list[str], int]]) -> Iterator[str]:
-    """Words, and for each sentence its length and nesting as words of their own kind."""
+def _shapes(prose: list[tuple[list[str], int]]) -> Iterator[tuple[str, str]]:
+    """Length and nesting of each sentence as words of their own kinds."""
     for words, nested in prose:
+        yield f"#len{len(words) // 2}", f"#nest{nested}"
+
+
+def _units(prose: list[tuple[list[str], int]]) -> Iterator[str]:
+    """Words, lengths and nestings."""
+    for words, _ in prose:
         yield from words
-        yield f"#len{min(len(words) // 3, 20)}"
-        yield f"#nest{min(nested, 12)}"
+    for pair in _shapes(prose):
+        yield from pair
+
+
+def _shape_grade(unit: str, grades: dict[str, float], seen: dict[str, float]) -> float:
+    """The grade of a length or nesting, or of the next smaller one that has a grade."""
+    if unit not in seen:
+        kind = unit.rstrip("0123456789")
+        seen[unit] = next((g for k in range(min(int(unit[len(kind) :]), 10_000), -1, -1) if (g := grades.get(f"{kind}{k}")) is not None), 2.5)
+    return seen[unit]
 
 
-def _features(prose: list[tuple[list[str], int]], grades: dict[str, float], quantiles: tuple[float, ...]) -> list[float]:
+def _features(prose: list[tuple[list[str], int]], grades: dict[str, float], quantiles: tuple[float, ...], seen: dict[str, float]) -> list[float]:
     known = sorted(g for words, _ in prose for w in words if (g := grades.get(w)) is not None) or [2.5]
-    lens = sorted(len(words) for words, _ in prose)
-    shape = sorted(grades.get(f"#len{min(len(words) // 3, 20)}", 2.5) + grades.get(f"#nest{min(nested, 12)}", 2.5) for words, nested in prose)
-    n = len(prose)
-    mean_len, mean_nest, mean_grade = sum(lens) / n, sum(nested for _, nested in prose) / n, sum(known) / len(known)
-    out = [quantile(known, q) for q in quantiles] + [quantile(shape, q) for q in quantiles]
-    return [*out, mean_grade, np.log(mean_len), np.sqrt(mean_nest), quantile(lens, 0.75) ** 0.5, mean_grade * np.log(mean_len), mean_grade**2]
+    pairs = [(_shape_grade(a, grades, seen), _shape_grade(b, grades, seen)) for a, b in _shapes(prose)]
+    lengths, nestings, both = sorted(a for a, _ in pairs), sorted(b for _, b in pairs), sorted(map(sum, pairs))
+    return [quantile(v, q) for v in (known, lengths, nestings, both) for q in quantiles] + [sum(v) / len(v) for v in (known, lengths, nestings)]
 
 
 def _sentence_hashes(prose: list[tuple[list[str], int]]) -> list[int]:
@@ -93,23 +105,37 @@ def ruling_links(prose: DataFrame, same_prose: float) -> DataFrame:
     return pairs.select(ends, F.lit("v").alias("kind"), F.col("doc_id").alias("first"))
 
 
-def graded_documents(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, text, level`` of at most ``max_graded`` documents with a rating; raters' levels are averaged."""
+_PARSED = "doc_id long, level double, words array<array<string>>, nested array<int>"
+
+
+def graded_prose(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, level, words, nested``: the English prose of at most ``max_graded`` documents with a rating, sentence by
+    sentence; raters' levels are averaged."""
     level = labels.where("doc_id IS NOT NULL AND reading_level BETWEEN 1 AND 5").groupBy("doc_id").agg(F.avg("reading_level").alias("level"))
     chosen = level.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_graded)
-    return documents.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, text, level in zip(pdf["doc_id"], pdf["text"], pdf["level"]):
+                prose = english_prose(text)[1]
+                if prose:
+                    out.append((doc_id, level, [w for w, _ in prose], [n for _, n in prose]))
+            yield pd.DataFrame(out, columns=["doc_id", "level", "words", "nested"])
 
-def word_grades(graded: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``unit, grade, n_docs``. A level's documents weigh the same in total, whatever their number."""
+    # ``max_graded`` ids go to all tasks, so that only graded texts leave the scan
+    graded = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    return graded.select("doc_id", "text", "level").mapInPandas(parse, _PARSED)
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(u, int(round(level))) for text, level in zip(pdf["text"], pdf["level"]) for u in set(_units(english_prose(text)[1]))]
-            yield pd.DataFrame(rows, columns=["unit", "level"])
 
-    met = graded.mapInPandas(units, "unit string, level int").groupBy("unit", "level").agg(F.count("*").alias("n"))
-    per_level = graded.select(F.round("level").cast("int").alias("level")).groupBy("level").agg(F.count("*").alias("docs"))  # five rows
+def word_grades(graded: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """``unit, grade, n_docs`` of :func:`graded_prose`. A level's documents weigh the same in total, whatever their
+    number."""
+    level = F.round("level").cast("int").alias("level")
+    length = F.transform("words", lambda w: F.concat(F.lit("#len"), F.floor(F.size(w) / 2).cast("string")))
+    nested = F.transform("nested", lambda n: F.concat(F.lit("#nest"), n.cast("string")))
+    met = graded.select(level, F.explode(F.array_distinct(F.concat(F.flatten("words"), length, nested))).alias("unit")).groupBy("unit", "level").agg(F.count("*").alias("n"))
+    per_level = graded.select(level).groupBy("level").agg(F.count("*").alias("docs"))  # five rows
     rates = met.join(F.broadcast(per_level), "level").withColumn("rate", F.col("n") / F.col("docs"))
     # where the cumulated share passes ``share``, linear within a level
     w = Window.partitionBy("unit")
@@ -119,20 +145,30 @@ def word_grades(graded: DataFrame, s: Settings = Settings()) -> DataFrame:
     return passed.groupBy("unit").agg(F.min(at).alias("grade"), F.first("n_docs").alias("n_docs"))
 
 
+def _logistic(a: np.ndarray, above: np.ndarray, ridge: float, rounds: int = 15) -> np.ndarray:
+    """Weights by Newton's method; a step that all graded documents are on one side of has a constant only."""
+    w = np.zeros(a.shape[1])
+    if above.min() == above.max():
+        w[0] = 20.0 if above.all() else -20.0
+        return w
+    penalty = ridge * np.diag([0.0] + [1.0] * (a.shape[1] - 1))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w = w + np.linalg.solve(a.T @ (a * np.maximum(p * (1 - p), 1e-4)[:, None]) + penalty + 1e-9 * np.eye(len(w)), a.T @ (above - p) - penalty @ w)
+    return w
+
+
 def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """The model of the graded documents. Their features, ``max_graded`` short rows at most, are solved on the driver."""
-    graded = materialize(graded_documents(documents, labels, s))
-    grades = {r["unit"]: r["grade"] for r in word_grades(graded, s).orderBy(F.desc("n_docs"), "unit").limit(s.max_words).collect()}
+    graded = materialize(graded_prose(documents, labels, s))
+    grades = {r["unit"]: r["grade"] for r in word_grades(graded, s).collect()}  # the vocabulary of ``max_graded`` documents
     model = Model(grades)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, float] = {}
         for pdf in batches:
-            out = []
-            for doc_id, text, level in zip(pdf["doc_id"], pdf["text"], pdf["level"]):
-                prose = english_prose(text)[1]
-                if prose:
-                    out.append((doc_id, level, _features(prose, grades, s.quantiles)))
-            yield pd.DataFrame(out, columns=["doc_id", "level", "x"])
+            x = [_features([(list(a), int(b)) for a, b in zip(words, nested)], grades, s.quantiles, seen) for words, nested in zip(pdf["words"], pdf["nested"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "level": pdf["level"], "x": x})
 
     rows = graded.mapInPandas(described, "doc_id long, level double, x array<double>").collect()
     if len(rows) < 10:
@@ -141,61 +177,53 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mo
     x, y = np.array([r["x"] for r in rows]), np.array([r["level"] for r in rows])
     model.mean, model.sd = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([np.ones(len(x)), (x - model.mean) / model.sd])
-
-    def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(a.T @ a + s.ridge * np.diag([0.0] + [1.0] * (a.shape[1] - 1)), a.T @ b)
-
-    # out-of-fold predictions set the cuts between levels
+    steps = (1.5, 2.5, 3.5, 4.5)
+    model.weights = np.array([_logistic(z, (y > c).astype(float), s.ridge) for c in steps])
     fold, seen = np.arange(len(y)) % 5, np.zeros(len(y))
     for k in range(5):
-        seen[fold == k] = z[fold == k] @ solve(z[fold != k], y[fold != k])
-    cuts = []
-    for level in (1, 2, 3, 4):
-        tries = np.linspace(level + 0.2, level + 0.8, 61)
-        wrong = [((seen >= t) != (y > level + 0.5)).sum() + ((y == level + 0.5) * 0).sum() for t in tries]
-        best = tries[np.flatnonzero(np.array(wrong) == min(wrong))]
-        cuts.append(float(np.median(best)))
-    model.cuts, model.weights = tuple(cuts), solve(z, y)
-    sure = y != np.floor(y) + 0.5
-    model.held_out = float(((np.searchsorted(cuts, seen[sure], side="right") + 1) == y[sure]).mean())
+        seen[fold == k] = 1 + sum(z[fold == k] @ _logistic(z[fold != k], (y[fold != k] > c).astype(float), s.ridge) >= 0 for c in steps)
+    sure = y == np.floor(y)
+    model.held_out = float((seen[sure] == y[sure]).mean())
     return model
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), model: Model | None = None) -> DataFrame:
     """``doc_id, lang, score, level`` for every document; ``level`` (1 to 5) and ``score`` are null unless the text has
-    English prose. Versions of a ruling (same docket and date, and prose in common) share the mean of their scores.
+    English prose: ``score`` is the expected level, ``level`` counts the steps that a document is more likely above than
+    below. Versions of a ruling (same docket and date, and prose in common) share the mean of their log-odds.
 
     Null, blank and withheld texts have no level, nor have texts without a sentence in their paragraphs. If fewer than
     ten graded documents have prose, no document has a level. Extra columns are ignored.
     """
     model = model or fit(documents, labels, s)
-    fitted = len(model.weights) > 1
+    fitted = len(model.weights) > 0
     named = ["doc_id", "docket", "decided", "court"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, float] = {}
         for pdf in batches:
             out = []
             for row, text in zip(pdf[named].itertuples(index=False, name=None), pdf["text"]):
                 lang, prose = english_prose(text)
-                score = None
+                odds = None
                 if prose and fitted:
-                    x = (np.array(_features(prose, model.grades, s.quantiles)) - model.mean) / model.sd
-                    score = float(model.weights[0] + x @ model.weights[1:])
-                out.append((*row, lang, score, None if score is None else _sentence_hashes(prose)))
-            yield pd.DataFrame(out, columns=[*named, "lang", "score", "said"])
+                    x = (np.array(_features(prose, model.grades, s.quantiles, seen)) - model.mean) / model.sd
+                    odds = (model.weights[:, 0] + model.weights[:, 1:] @ x).tolist()
+                out.append((*row, lang, odds, None if odds is None else _sentence_hashes(prose)))
+            yield pd.DataFrame(out, columns=[*named, "lang", "odds", "said"])
 
     known = lambda c: F.nullif(letters_digits(F.col(c)), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), known("docket_no").alias("docket"), F.col("decided_on").cast("date").alias("decided"), known("court_code").alias("court"), F.coalesce(F.when(~F.col("text").rlike(s.withheld), F.col("text")), F.lit("")).alias("text"))
-    scores = materialize(rows.mapInPandas(scored, "doc_id long, docket string, decided date, court string, lang string, score double, said array<long>"))
-    near = scores.where("score IS NOT NULL").select("doc_id", "lang", "score")
-    ruling = propagate_labels(ruling_links(scores.where("score IS NOT NULL"), s.same_prose)).select(F.col("id").alias("doc_id"), "label")
-    versions = materialize(near.join(ruling, "doc_id", "left"))
-    mean = versions.where("label IS NOT NULL").groupBy("label").agg(F.avg("score").alias("shared"))
-    joined = versions.join(mean, "label", "left").select("doc_id", "lang", F.coalesce("shared", "score").alias("score"))
-    level = F.lit(1)
-    for c in model.cuts:
-        level = level + F.when(F.col("score") >= c, 1).otherwise(0)
-    return joined.withColumn("level", level).unionByName(scores.where("score IS NULL").select("doc_id", "lang", "score", F.lit(None).cast("int").alias("level")))
+    scores = materialize(rows.mapInPandas(scored, "doc_id long, docket string, decided date, court string, lang string, odds array<double>, said array<long>"))
+    near = scores.where("odds IS NOT NULL")
+    ruling = propagate_labels(ruling_links(near, s.same_prose)).select(F.col("id").alias("doc_id"), "label")
+    versions = materialize(near.select("doc_id", "lang", *[F.col("odds")[i].alias(f"o{i}") for i in range(4)]).join(ruling, "doc_id", "left"))
+    mean = versions.where("label IS NOT NULL").groupBy("label").agg(*[F.avg(f"o{i}").alias(f"m{i}") for i in range(4)])
+    odds = [F.coalesce(f"m{i}", f"o{i}") for i in range(4)]
+    score = sum((1 / (1 + F.exp(-o)) for o in odds), F.lit(1.0))
+    level = sum((F.when(o >= 0, 1).otherwise(0) for o in odds), F.lit(1))
+    joined = versions.join(mean, "label", "left").select("doc_id", "lang", score.alias("score"), level.alias("level"))
+    return joined.unionByName(scores.where("odds IS NULL").select("doc_id", "lang", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level")))
 
 
 def level_profile(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:

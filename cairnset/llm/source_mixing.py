@@ -2,9 +2,10 @@
 
 Method: texts are counted in tokens by source, language and topic. For each mix, iterative proportional fitting rakes
 the weights of these cells to the source targets and to the language and topic shares of the corpus, with no weight
-above the source's cap on repeats; sources come last in each round, so that their targets hold exactly. Documents are
-then drawn with their cell's weight as expected number of copies, by systematic sampling in order of size, which keeps
-the drawn tokens of a cell close to the expected ones.
+above the source's cap on repeats; sources come last in each round, so that their weights hold exactly. Documents are
+then drawn with their cell's weight as expected number of copies: one systematic draw runs along all texts of a source,
+from the longest to the shortest. The copies drawn so far are never more than a half from the expected ones, and
+lengths only fall, so that the tokens drawn are within half of the source's longest text of its share.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cairnset.llm.court_prose import language
 from cairnset.llm.tokens import DEFAULT_RANKS, _encoding
+from cairnset.operators.running import running_totals
 from cairnset.storage import materialize
 
 
@@ -90,23 +92,23 @@ def rake(cells: list[tuple[str, str, str, float]], targets: list[tuple[str, floa
     return w, total
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, topic_col: str = "court_code", path: str = DEFAULT_RANKS, seed: int = 8) -> DataFrame:
+_UNIT = 1 << 24  # weights are whole numbers of this part, so that sums are exact
+
+
+def mix_sources(documents: DataFrame, targets: DataFrame, topic_col: str = "court_code", path: str = DEFAULT_RANKS, seed: int = 8, max_topics: int = 500) -> DataFrame:
     """``mix_name, source, doc_id, n_tokens, copies`` of the documents in each mix (``copies`` of 1 or more).
 
-    Only counts by category and the parameter table reach the driver. A null ``max_repeats`` is no cap; a null or zero
-    share takes nothing. Documents without a source are in no mix. A later target row for the same source of a mix
-    replaces none: their shares add up, and the smaller cap holds.
+    Only tokens by category and the parameter table reach the driver; topics beyond the ``max_topics`` largest are one
+    topic to the raking. A null ``max_repeats`` is no cap; a null or zero share takes nothing. Documents without a
+    source are in no mix. A later target row for the same source of a mix replaces none: their shares add up, and the
+    smaller cap holds.
     """
     spark = documents.sparkSession
     texts = materialize(sized_by_cell(documents, topic_col, path).where("source IS NOT NULL AND n_tokens > 0"))
-    size = F.floor(F.log2("n_tokens") * 4).cast("int")
-    salted = texts.withColumns({"size": size, "salt": F.pmod(F.xxhash64("text_id", F.lit(seed)), F.lit(8)).cast("int")})
-    parts = salted.groupBy("source", "lang", "topic", "size", "salt").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()  # categories x sizes x salts
-    tokens: dict[tuple, float] = {}
-    for r in parts:
-        key = (r["source"], r["lang"], r["topic"])
-        tokens[key] = tokens.get(key, 0) + r["tokens"]
-    cells = [(*k, t) for k, t in sorted(tokens.items())]
+    big = texts.groupBy("topic").agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), "topic").limit(max_topics).select("topic", F.col("topic").alias("big"))
+    texts = texts.join(F.broadcast(big), "topic", "left").withColumn("topic", F.coalesce("big", F.lit("other"))).drop("big")  # max_topics rows
+    tokens = texts.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "lang", "topic").collect()  # one row a category
+    cells = [tuple(r) for r in tokens]
     wanted: dict[str, dict[str, tuple[float, float]]] = {}
     for r in targets.where("mix_name IS NOT NULL AND source IS NOT NULL").orderBy("mix_name", "source").collect():  # a parameter table
         share, cap = wanted.setdefault(r["mix_name"], {}).get(r["source"], (0.0, np.inf))
@@ -114,22 +116,13 @@ def mix_sources(documents: DataFrame, targets: DataFrame, topic_col: str = "cour
     weights = []
     for mix, by_source in wanted.items():
         w, _ = rake(cells, [(s, share, cap) for s, (share, cap) in by_source.items()])
-        weights += [(mix, s, lang, topic, float(x), None if np.isinf(by_source[s][1]) else int(by_source[s][1])) for (s, lang, topic, _), x in zip(cells, w) if x > 0]
-    offsets, at, last = [], 0, None
-    for r in sorted(parts, key=lambda r: (r["source"], r["lang"], r["topic"], r["size"], r["salt"])):
-        key = (r["source"], r["lang"], r["topic"])
-        at = 0 if key != last else at
-        offsets.append((*key, r["size"], r["salt"], at))
-        at, last = at + r["n"], key
-    before = spark.createDataFrame(offsets, "source string, lang string, topic string, size int, salt int, before long")
-    per_cell = spark.createDataFrame(weights, "mix_name string, source string, lang string, topic string, w double, cap long")
-    order = Window.partitionBy("source", "lang", "topic", "size", "salt").orderBy("n_tokens", F.xxhash64("text_id", F.lit(seed + 1)))
-    ranked = salted.withColumn("rn", F.row_number().over(order) - 1).join(F.broadcast(before), ["source", "lang", "topic", "size", "salt"])
-    drawn = ranked.join(F.broadcast(per_cell), ["source", "lang", "topic"]).withColumn("rank", F.col("before") + F.col("rn"))
-    start = F.pmod(F.xxhash64("mix_name", "source", "lang", "topic", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    copies = F.floor(F.col("w") * (F.col("rank") + 1) + start) - F.floor(F.col("w") * F.col("rank") + start)
-    kept = drawn.withColumn("copies", F.least(copies, F.coalesce("cap", copies)))
-    return kept.where("copies > 0").select("mix_name", "source", "doc_id", "n_tokens", "copies")
+        weights += [(mix, s, lang, topic, round(float(x) * _UNIT)) for (s, lang, topic, _), x in zip(cells, w) if x > 0]
+    per_cell = spark.createDataFrame(weights, "mix_name string, source string, lang string, topic string, w long")  # mixes x categories
+    asked = texts.join(F.broadcast(per_cell), ["source", "lang", "topic"]).select("mix_name", "source", "text_id", "doc_id", "n_tokens", "w")
+    run = running_totals(asked, ["mix_name", "source"], [-F.col("n_tokens"), F.xxhash64("text_id", F.lit(seed)), F.col("text_id")], {"upto": F.col("w")})
+    half = F.lit(_UNIT // 2)
+    copies = F.floor((F.col("upto") + half) / F.lit(_UNIT)) - F.floor((F.col("upto") - F.col("w") + half) / F.lit(_UNIT))
+    return run.withColumn("copies", copies).where("copies > 0").select("mix_name", "source", "doc_id", "n_tokens", "copies")
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

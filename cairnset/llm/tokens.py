@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +16,11 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 
 
 def _encoding(path: str):  # noqa: ANN202
-    """The encoding of a vocabulary file; a Python worker reads it once, whatever the number of its tasks."""
-    import tiktoken.registry
+    """The encoding of a vocabulary file; a Python worker reads it once, whatever the number of its tasks. Functions reach
+    workers by value, so what a worker keeps is kept on ``sys``."""
+    import tiktoken
 
-    kept = tiktoken.registry.ENCODINGS
+    kept = sys.__dict__.setdefault("_cairnset_encodings", {})
     if path not in kept:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
