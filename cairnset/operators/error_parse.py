@@ -3,7 +3,8 @@
 A line is read by a small automaton whose states are the start of a field, an unquoted field, a quoted field, and the
 place after a closing quote. Dynamic programming over the characters finds the cheapest set of edits (insert or delete
 a quote or a delimiter) under which the line is well quoted and has the file's number of fields. Lines of cost 0 are
-typed; the edits of the others say why they fail, and where.
+typed. The edits of the others state the reason: ``quoting`` if no path without edits of quotes leads through the line,
+whatever its number of fields, ``columns`` if only that number asks for edits.
 
 Lines without quotes that have the right number of fields cost nothing to read, and are split in the JVM; only the
 rest go through the automaton and, where it refuses them, the dynamic program.
@@ -36,9 +37,9 @@ def _step(state: int, ch: str) -> tuple[int, int] | None:
     return (_PLAIN, 0) if state in (_START, _PLAIN) else None
 
 
-def least_edits(line: str, n_fields: int) -> tuple[int, str]:
+def least_edits(line: str, n_fields: int | None, signs: str = ',"') -> tuple[int, str]:
     """Cost and edits (``+"@3 -,@17``: what is inserted before, or deleted at, which character) that make ``line`` well
-    quoted with ``n_fields`` fields.
+    quoted with ``n_fields`` fields (None: any number), by edits of ``signs`` only.
 
     Quote edits cost a little more than delimiter edits only to settle ties; runs of characters that cannot change
     the state are stepped over, so that long texts cost as much as their quotes and delimiters.
@@ -57,6 +58,12 @@ def least_edits(line: str, n_fields: int) -> tuple[int, str]:
             i += 1
     best: dict[tuple[int, int], tuple] = {(_START, 0): (0, 0, None)}  # cost, ties, edits as a chain back to the first
 
+    def after(state: int, ended: int, ch: str) -> tuple[int, int] | None:
+        nxt = _step(state, ch)
+        if nxt is None or n_fields is None:
+            return nxt and (nxt[0], 0)
+        return (nxt[0], ended + nxt[1]) if ended + nxt[1] < n_fields else None
+
     def offer(to: dict, key: tuple[int, int], cost: tuple) -> bool:
         if key not in to or cost[:2] < to[key][:2]:
             to[key] = cost
@@ -68,10 +75,10 @@ def least_edits(line: str, n_fields: int) -> tuple[int, str]:
         while todo:
             state, ended = key = todo.pop()
             cost, ties, ops = layer[key]
-            for ch, tie in ((",", 0), ('"', 1)):
-                nxt = _step(state, ch)
-                if nxt and ended + nxt[1] < n_fields:
-                    to = (nxt[0], ended + nxt[1])
+            for ch in signs:
+                tie, nxt = int(ch == '"'), after(state, ended, ch)
+                if nxt:
+                    to = nxt
                     if offer(layer, to, (cost + 1, ties + tie, (ops, f"+{ch}@{pos}"))):
                         todo.append(to)
 
@@ -79,14 +86,14 @@ def least_edits(line: str, n_fields: int) -> tuple[int, str]:
         insert(best, pos)
         layer: dict = {}
         for (state, ended), (cost, ties, ops) in best.items():
-            nxt = _step(state, ch)
-            if nxt and ended + nxt[1] < n_fields:
-                offer(layer, (nxt[0], ended + nxt[1]), (cost, ties, ops))
-            if ch != "x":
+            nxt = after(state, ended, ch)
+            if nxt:
+                offer(layer, nxt, (cost, ties, ops))
+            if ch in signs:
                 offer(layer, (state, ended), (cost + 1, ties + (ch == '"'), (ops, f"-{ch}@{pos}")))
         best = layer
     insert(best, len(line))
-    ends = [v for (state, ended), v in best.items() if state != _QUOTED and ended == n_fields - 1]
+    ends = [v for (state, ended), v in best.items() if state != _QUOTED and n_fields in (None, ended + 1)]
     cost, _, ops = min(ends, key=lambda v: v[:2])
     said = []
     while ops:
@@ -111,7 +118,7 @@ def read_fields(line: str) -> list[str] | None:
     return None if state == _QUOTED else [*fields, "".join(begun)]
 
 
-_PARSED = T.StructType([T.StructField("quoted", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("cost", T.IntegerType()), T.StructField("edits", T.StringType())])
+_PARSED = T.StructType([T.StructField("quote_cost", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("cost", T.IntegerType()), T.StructField("edits", T.StringType())])
 
 
 @F.pandas_udf(_PARSED)
@@ -121,10 +128,11 @@ def _error_parse(line: pd.Series, n_fields: pd.Series) -> pd.DataFrame:
         if text is None:
             out.append((None, None, None, None))
             continue
-        fields = read_fields(text)
+        fields = read_fields(text)  # a line that the automaton accepts has a path without edits
+        quotes = least_edits(text, None, '"')[0] if fields is None else 0
         well = fields is not None and len(fields) == n
-        out.append((fields is not None, fields, *((0, "") if well or not n else least_edits(text, int(n)))))
-    return pd.DataFrame(out, columns=["quoted", "fields", "cost", "edits"])
+        out.append((quotes, fields, *((0, "") if well or not n else least_edits(text, int(n)))))
+    return pd.DataFrame(out, columns=["quote_cost", "fields", "cost", "edits"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -162,14 +170,15 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     plain = ~F.contains("text", F.lit('"'))
     easy = joined.withColumn("cells", F.when(plain, F.split("text", ",", -1))).withColumn("easy", F.coalesce(plain & (F.size("cells") == F.col("n")), F.lit(False)))
     read = easy.withColumn("p", _error_parse(F.when(~F.col("easy"), F.col("text")), F.col("n")))
-    split = read.select("line_id", "file_name", "line_no", "n", "columns", F.when(F.col("easy"), True).otherwise(F.col("p.quoted")).alias("quoted"), F.when(F.col("easy"), F.col("cells")).otherwise(F.col("p.fields")).alias("fields"), F.coalesce("p.cost", F.lit(0)).alias("cost"), F.coalesce("p.edits", F.lit("")).alias("edits"))
-    shaped = split.withColumn("shaped", F.col("quoted") & (F.size("fields") == F.col("n")))
+    split = read.select("line_id", "file_name", "line_no", "n", "columns", F.when(F.col("easy"), 0).otherwise(F.col("p.quote_cost")).alias("quote_cost"), F.when(F.col("easy"), F.col("cells")).otherwise(F.col("p.fields")).alias("fields"), F.coalesce("p.cost", F.lit(0)).alias("cost"), F.coalesce("p.edits", F.lit("")).alias("edits"))
+    shaped = split.withColumn("shaped", (F.col("quote_cost") == 0) & (F.col("cost") == 0) & (F.col("n") > 0))
     named = lambda name: F.try_element_at("fields", F.nullif(F.array_position("columns", name).cast("int"), F.lit(0)))
     cells = shaped.withColumns({"c_smiles": F.when(F.col("shaped"), _trimmed(named("smiles"))), "c_act": F.when(F.col("shaped"), _trimmed(named("actividad"))), "c_title": F.when(F.col("shaped"), named("title")), "c_ic50": F.when(F.col("shaped"), _trimmed(named("ic50")))})
     number = F.coalesce((F.col("c_ic50") == "") | F.col("c_ic50").rlike(NUMBER), ~F.array_contains("columns", "ic50"), F.lit(False))
     typed = cells.withColumn("typed", F.coalesce(F.col("c_act").isin("0", "1"), F.lit(False)) & number)
     judged = typed.withColumn("atoms", _well_formed(F.when(F.col("typed"), F.col("c_smiles"))))
-    reason = F.when(~F.col("quoted"), "quoting").when(~F.col("shaped"), "columns").when(~(F.col("typed") & F.col("atoms")), "value")
+    # the edits state the reason: some quote must change whatever the number of fields, or else the fields must
+    reason = F.when(F.col("quote_cost") > 0, "quoting").when(~F.col("shaped"), "columns").when(~(F.col("typed") & F.col("atoms")), "value")
     out = judged.withColumn("reason", reason)
     valid = F.col("reason").isNull()
     kept = lambda c: F.when(valid, c)

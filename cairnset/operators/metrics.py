@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnset.operators.running import running_totals
+from cairnset.operators.running import quantiles, running_totals
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -53,13 +53,20 @@ def regression_errors(df: DataFrame, keys: list[str], target: str, pred: str) ->
     return out.select(*keys, "n", "rmse", "mae", F.when(F.col("_b") > 0, F.col("_a") / F.col("_b")).alias("rae"))
 
 
+def finite(c: Column) -> Column:
+    """A number that is neither NaN nor infinite, else null."""
+    v = c.cast("double")
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
 def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``n, mean, sd, q05, q25, median, q75, q95, low, high`` with linear quantiles; NaN and null are left out."""
-    w = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    out = w.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), q.alias("q"), F.min(v).alias("low"), F.max(v).alias("high"))
-    return out.select(*keys, "n", "mean", "sd", *[F.col("q")[i].alias(name) for i, name in enumerate(("q05", "q25", "median", "q75", "q95"))], "low", "high")
+    """``n, mean, sd, q05, q25, median, q75, q95, low, high`` with linear quantiles; null, NaN and infinite values are left
+    out."""
+    w = df.select(*keys, finite(F.col(value)).alias("_x")).where("_x IS NOT NULL")
+    out = w.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    q = quantiles(w, keys, "_x", {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95})
+    both = out.alias("a").join(q.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]) if keys else out.alias("a").join(F.broadcast(q.alias("b")))
+    return both.select(*[F.col(f"a.{k}") for k in keys], "n", "mean", "sd", "q05", "q25", "median", "q75", "q95", "low", "high")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, bins: int) -> DataFrame:

@@ -37,6 +37,22 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     return run.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name), F.col("_n").alias(f"{name}_n"), F.col("_upto_all").alias(f"{name}_all"))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and for each ``name: share`` the exact quantile, linear between neighbours; null values don't count.
+
+    From the counts of distinct values in ordered ranges, so that no task holds a group's values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    run = running_totals(counts, keys, [F.col("_v")], {"_upto": F.col("_n")})
+    holds = lambda i: (F.col("_upto") - F.col("_n") <= i) & (i < F.col("_upto"))
+    picked = []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("_upto_all") - 1)
+        low, high = F.max(F.when(holds(F.floor(at)), F.col("_v"))), F.max(F.when(holds(F.ceil(at)), F.col("_v")))
+        picked.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return run.groupBy(*keys).agg(*picked)
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """``n, rho``: Pearson correlation of average ranks over rows where both are known; null under two rows or
     without variance."""

@@ -5,39 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnset.operators.running import running_totals
+
 
 def hash_order(id_col: str, seed: int) -> Column:
     """A seeded order that any engine can repeat: the MD5 of seed and id."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
-def top_in_group(df: DataFrame, group: str, order: list[Column], quota: Column, salts: int = 32) -> DataFrame:
-    """Up to ``quota`` (a column, constant within a group) rows of each group in ``order``, with their rank ``rn``.
+def top_in_group(df: DataFrame, group: str, order: list[Column], quota: Column) -> DataFrame:
+    """Up to ``quota`` (a column, constant within a group) rows of each group in ascending ``order`` (values that settle
+    every tie), with their rank ``rn``.
 
-    The best of each salt come first, then the best of those, so that a hot group is spread over tasks.
+    Ranks come from ordered ranges of the whole table (:func:`running_totals`), so that neither a hot group nor a quota of
+    half of it ends in one task.
     """
-    salted = df.withColumn("_q", quota).withColumn("_salt", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(salts)))
-    some = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(group, "_salt").orderBy(*order))).where("_rn <= _q")
-    ranked = some.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.where("rn <= _q").drop("_q", "_salt", "_rn")
+    ranked = running_totals(df.withColumn("_q", quota), [group], order, {"rn": F.lit(1)})
+    return ranked.where("rn <= _q").drop("_q", "rn_all")
 
 
 def one_per_cluster(members: DataFrame, cluster_mass: DataFrame, k: int) -> DataFrame:
     """The heaviest member of each of the ``k`` heaviest clusters (ties: smallest id). ``members``: ``id, cluster_id,
     mass``; ``cluster_mass``: ``cluster_id, weight``."""
     top = cluster_mass.join(members.select("cluster_id").distinct(), "cluster_id", "left_semi").orderBy(F.desc("weight"), "cluster_id").limit(k)
-    return top_in_group(members.join(top.select("cluster_id"), "cluster_id"), "cluster_id", [F.desc("mass"), F.col("id")], F.lit(1)).select("id", "cluster_id", "mass")
+    return top_in_group(members.join(top.select("cluster_id"), "cluster_id"), "cluster_id", [-F.col("mass"), F.col("id")], F.lit(1)).select("id", "cluster_id", "mass")
 
 
-def largest_remainder(groups: DataFrame, total: int) -> DataFrame:
+def largest_remainder(groups: DataFrame, total: int, strict: bool = True) -> DataFrame:
     """Adds ``allocated`` to ``cluster_id, theory, capacity``: the floor of ``theory`` within ``min(ceil(theory),
     capacity)``, then single units by largest fraction (ties: smallest id) until ``total`` is given out.
 
-    Raises if the capacities cannot hold ``total``.
+    Raises if the capacities cannot hold ``total``; unless ``strict``, as much is given out as they hold.
     """
     capped = groups.withColumn("cap", F.least(F.ceil("theory"), F.col("capacity").cast("long"))).withColumn("base", F.least(F.floor("theory"), F.col("cap")))
     sums = capped.agg(F.coalesce(F.sum("base"), F.lit(0)).alias("b"), F.coalesce(F.sum("cap"), F.lit(0)).alias("c")).first()
-    if sums["c"] < total:
+    if strict and sums["c"] < total:
         raise ValueError(f"{total} units do not fit in capacities of {sums['c']}")
     need = max(0, total - sums["b"])
     frac = F.col("theory") - F.floor("theory")
@@ -59,7 +61,7 @@ def anchored_shares(clusters: DataFrame, total: int, anchor: int, pool: int, pow
 
 def fill_quotas(members: DataFrame, quotas: DataFrame) -> DataFrame:
     """Members by mass up to each cluster's ``allocated``."""
-    return top_in_group(members.join(quotas.where("allocated > 0").select("cluster_id", "allocated"), "cluster_id"), "cluster_id", [F.desc("mass"), F.col("id")], F.col("allocated")).select("id", "cluster_id", "mass")
+    return top_in_group(members.join(quotas.where("allocated > 0").select("cluster_id", "allocated"), "cluster_id"), "cluster_id", [-F.col("mass"), F.col("id")], F.col("allocated")).select("id", "cluster_id", "mass")
 
 
 def top_up(chosen: DataFrame, pool: DataFrame, total: int) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from cairnset.functions.fingerprints import tanimoto
 from cairnset.operators import hexbin, similarity
+from cairnset.operators.running import quantiles
 from cairnset.plans.selection_queries import _HASH
 from cairnset.plans.similarity_queries import _COMP
 from cairnset.plans.space_queries import NBINS
 from cairnset.plans.tables import MEDOIDS, POINTS, hex_sql, medoids, points, rounded, table
+from cairnset.storage import materialize
 
 
 def members_to_medoid(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +80,9 @@ def radial_bands(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     mid = p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     r = p.join(F.broadcast(mid)).withColumn("r", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2))
-    q = r.agg(F.percentile("r", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    band = F.when(F.col("r") <= F.col("q")[0], "inner").when(F.col("r") <= F.col("q")[1], "middle").otherwise("outer")
+    r = materialize(r)
+    q = quantiles(r, [], "r", {"a": 1 / 3, "b": 2 / 3})
+    band = F.when(F.col("r") <= F.col("a"), "inner").when(F.col("r") <= F.col("b"), "middle").otherwise("outer")
     return r.join(F.broadcast(q)).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.count_if("is_decoy").alias("n_decoys"))
 
 

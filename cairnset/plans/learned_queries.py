@@ -29,9 +29,10 @@ def forest_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    """The streaming histogram over the table as a batch."""
+    """The streaming histogram over the table as a batch; its bins reach to the next hundred above the largest value."""
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    h = windowed_histogram(e, "ts", "value", ["event_type"], "1 day", "1 hour", 0.0, 500.0, 10)
+    high = e.agg(F.ceil(F.max("value") / 100) * 100).first()[0] or 100
+    h = windowed_histogram(e, "ts", "value", ["event_type"], "1 day", "1 hour", 0.0, float(high), 10)
     return h.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", F.col("bin").cast("long").alias("bin"), "n")
 
 
@@ -41,7 +42,7 @@ def event_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (kmeans_sizes, pca_positions, forest_quality, event_histogram, event_days)}
-_H = "h AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(least(floor(value / 500.0 * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY ALL)"
+_H = "h AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(least(floor(value / hi * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM events, (SELECT ceil(max(value) / 100) * 100 AS hi FROM events) WHERE value >= 0 GROUP BY ALL)"
 SQL = {
     "event_histogram": f"WITH {_H} SELECT day, event_type, bin, n FROM h",
     "event_days": f"WITH {_H} SELECT day, CAST(sum(n) AS BIGINT) AS n, round(log10(sum(n)), 6) AS log_n FROM h GROUP BY day",

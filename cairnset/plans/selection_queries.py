@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnset.operators import selection as sel
 from cairnset.plans.tables import MEDOIDS, medoids, rounded
+from cairnset.storage import materialize
 
 K = 200
 
@@ -55,12 +56,12 @@ def rows_with_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def pure_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Medoids of clusters without an active: an anti join."""
-    m = medoids(spark, sf)
+    m = materialize(medoids(spark, sf).select("id", "kind", "cluster_id"))
     return m.join(m.where("kind = 'active'").select("cluster_id"), "cluster_id", "left_anti").select("id")
 
 
 def heaviest_in_cluster(spark: SparkSession, sf: str) -> DataFrame:
-    return sel.top_in_group(medoids(spark, sf).select("id", "cluster_id", "mass"), "cluster_id", [F.desc("mass"), F.col("id")], F.lit(3)).select("id", "cluster_id", "mass", F.col("rn").cast("long").alias("rank"))
+    return sel.top_in_group(medoids(spark, sf).select("id", "cluster_id", "mass"), "cluster_id", [-F.col("mass"), F.col("id")], F.lit(3)).select("id", "cluster_id", "mass", F.col("rn").cast("long").alias("rank"))
 
 
 def one_per_cluster(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,16 +70,15 @@ def one_per_cluster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anchored_allocation(spark: SparkSession, sf: str) -> DataFrame:
-    shares = sel.anchored_shares(_vendor_weight(medoids(spark, sf)), K, 20, 60, 0.5)
-    room = shares.withColumn("capacity", F.greatest("capacity", F.ceil("theory")))
-    return rounded(sel.largest_remainder(room, K).select("cluster_id", "theory", F.col("allocated").cast("long").alias("allocated")), "theory")
+    """Within what each cluster holds: if that is less than the total, as much as fits."""
+    shares = materialize(sel.anchored_shares(materialize(_vendor_weight(medoids(spark, sf))), K, 20, 60, 0.5))
+    return rounded(sel.largest_remainder(shares, K, strict=False).select("cluster_id", "theory", F.col("allocated").cast("long").alias("allocated")), "theory")
 
 
 def anchored_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Quotas by anchored shares, filled by mass, topped up by mass to the total."""
-    m = medoids(spark, sf)
     quotas = anchored_allocation(spark, sf)
-    decoys = _decoys(m)
+    decoys = materialize(_decoys(medoids(spark, sf)))
     return sel.top_up(sel.fill_quotas(decoys, quotas), decoys, K)
 
 
@@ -89,7 +89,7 @@ def active_reserve(spark: SparkSession, sf: str) -> DataFrame:
 def round_robin(spark: SparkSession, sf: str) -> DataFrame:
     m = medoids(spark, sf)
     sized = _decoys(m).join(m.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id")
-    picked = sel.round_robin(sized.select("id", "cluster_id", "mass", "n"), [F.desc("n"), F.col("cluster_id")], [F.desc("mass"), F.col("id")], K)
+    picked = sel.round_robin(sized.select("id", "cluster_id", "mass", "n"), [F.desc("n"), F.col("cluster_id")], [-F.col("mass"), F.col("id")], K)
     return picked.select("id", "cluster_id", F.col("pick").cast("long").alias("pick"))
 
 
@@ -108,8 +108,8 @@ def mass_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 def touched_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Vendor mass of clusters that the one-per-cluster selection touches, over that of clusters with a decoy."""
-    m = medoids(spark, sf)
-    w = _vendor_weight(m)
+    m = materialize(medoids(spark, sf).select("id", "kind", "cluster_id", "mass"))
+    w = materialize(_vendor_weight(m))
     touched = sel.one_per_cluster(_decoys(m), w, 50).select("cluster_id", F.lit(True).alias("hit"))
     return rounded(w.join(touched, "cluster_id", "left").agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("weight"))), F.lit(0)).alias("touched_mass"), F.sum("weight").alias("pickable_mass"), (F.coalesce(F.sum(F.when(F.col("hit"), F.col("weight"))), F.lit(0)) / F.nullif(F.sum("weight"), F.lit(0))).alias("coverage")), "coverage")
 
@@ -122,9 +122,9 @@ _VW = "vw AS (SELECT cluster_id, CAST(coalesce(sum(CASE WHEN kind = 'vendor' THE
 _D = "d AS (SELECT id, cluster_id, mass FROM m WHERE kind = 'decoy')"
 _ONE = "top AS (SELECT cluster_id FROM vw ORDER BY weight DESC, cluster_id LIMIT 50), one AS (SELECT id, cluster_id, mass FROM (SELECT d.*, row_number() OVER (PARTITION BY cluster_id ORDER BY mass DESC, id) AS rn FROM d JOIN top USING (cluster_id)) WHERE rn = 1)"
 _ALLOC = f"""pool AS (SELECT *, row_number() OVER (ORDER BY weight DESC, cluster_id) AS r FROM vw), p AS (SELECT *, CASE WHEN weight > 0 THEN pow(weight, 0.5) ELSE 0.0 END AS pw FROM pool WHERE r <= 60),
-th AS (SELECT cluster_id, CASE WHEN r <= 20 THEN 1 ELSE 0 END + (CASE WHEN sum(pw) OVER () > 0 THEN pw / sum(pw) OVER () ELSE 1.0 / count(*) OVER () END) * {K - 20} AS theory FROM p),
-fl AS (SELECT cluster_id, theory, CAST(floor(theory) AS BIGINT) AS base, theory - floor(theory) AS frac, CAST(ceil(theory) AS BIGINT) AS cap FROM th),
-al AS (SELECT cluster_id, theory, base + CASE WHEN base < cap AND row_number() OVER (PARTITION BY base < cap ORDER BY frac DESC, cluster_id) <= {K} - (SELECT sum(base) FROM fl) THEN 1 ELSE 0 END AS allocated FROM fl)"""
+th AS (SELECT cluster_id, capacity, CASE WHEN r <= 20 THEN 1 ELSE 0 END + (CASE WHEN sum(pw) OVER () > 0 THEN pw / sum(pw) OVER () ELSE 1.0 / count(*) OVER () END) * {K - 20} AS theory FROM p),
+fl AS (SELECT cluster_id, theory, CAST(least(floor(theory), capacity) AS BIGINT) AS base, theory - floor(theory) AS frac, CAST(least(ceil(theory), capacity) AS BIGINT) AS cap FROM th),
+al AS (SELECT cluster_id, theory, base + CASE WHEN base < cap AND row_number() OVER (PARTITION BY base < cap ORDER BY frac DESC, cluster_id) <= least({K}, (SELECT sum(cap) FROM fl)) - (SELECT sum(base) FROM fl) THEN 1 ELSE 0 END AS allocated FROM fl)"""
 _HASH = lambda seed, col: f"md5('{seed}:' || CAST({col} AS VARCHAR))"
 _BG = f"bg AS (SELECT id, mass FROM d ORDER BY {_HASH(52, 'id')}, id LIMIT 100)"
 SQL = {

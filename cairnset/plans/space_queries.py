@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.operators import hexbin, metrics
-from cairnset.operators.running import running_totals, spearman
+from cairnset.operators.running import quantiles, running_totals, spearman
 from cairnset.plans.tables import POINTS, hex_sql, points, rounded, table
 from cairnset.storage import materialize
 
@@ -76,8 +76,8 @@ def histogram_distance(spark: SparkSession, sf: str) -> DataFrame:
 def descriptor_limits(spark: SparkSession, sf: str) -> DataFrame:
     """Common axis limits of two sets: quantiles of both together, floored and ceiled, not below 0."""
     both = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("v")).unionByName(table(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("v")))
-    q = both.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return q.select(F.greatest(F.floor(F.col("q")[0]), F.lit(0)).cast("long").alias("low"), F.ceil(F.col("q")[1]).cast("long").alias("high"))
+    q = quantiles(both, [], "v", {"a": 0.01, "b": 0.99})
+    return q.select(F.greatest(F.floor("a"), F.lit(0)).cast("long").alias("low"), F.ceil("b").cast("long").alias("high"))
 
 
 def empirical_cdf(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,8 +100,9 @@ def unit_mass(spark: SparkSession, sf: str) -> DataFrame:
 def synthetic_actives(spark: SparkSession, sf: str) -> DataFrame:
     """Points with pseudo-actives at the median position, one for each two decoys, ten at most."""
     p = points(spark, sf)
-    mid = p.agg(F.median("x").alias("x"), F.median("y").alias("y"), F.least(F.floor(F.count_if("is_decoy") / 2), F.lit(10)).alias("n"))
-    fake = mid.select(F.explode(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("long"))).alias("k"), "x", "y").select((-F.col("k")).alias("id"), "x", "y", F.lit(0).alias("label"))
+    n = p.agg(F.least(F.floor(F.count_if("is_decoy") / 2), F.lit(10)).alias("n"))
+    mid = quantiles(p, [], "x", {"mx": 0.5}).join(quantiles(p, [], "y", {"my": 0.5})).join(n).select(F.col("mx").alias("x"), F.col("my").alias("y"), "n")  # one row
+    fake = mid.select(F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).alias("k"), "x", "y").select((-F.col("k")).alias("id"), "x", "y", F.lit(0).alias("label"))
     every = p.select("id", "x", "y", "label").unionByName(fake)
     return rounded(every.groupBy("label").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y")), "mean_x", "mean_y")
 

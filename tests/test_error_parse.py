@@ -63,6 +63,14 @@ def test_edits_are_least_by_brute_force():
             assert ep.least_edits(line, n)[0] == cost, (line, n)
 
 
+def test_edits_of_quotes_alone_agree_with_the_automaton():
+    for size in range(6):
+        for line in map("".join, itertools.product('a",', repeat=size)):
+            cost, edits = ep.least_edits(line, None, '"')
+            assert (cost == 0) == (ep.read_fields(line) is not None), line
+            assert "," not in edits and len(edits.split()) == cost
+
+
 def test_long_lines_and_extra_columns(spark):
     long = "C" * 200_000
     lines = [(1, "a", 1, "SMILES,Actividad,Title", 5), (2, "a", 2, f"{long},1,x", 5), (3, "a", 3, "," * 5_000, 5), (4, "a", 4, '"' * 4_001, 5)]

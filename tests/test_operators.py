@@ -72,7 +72,7 @@ def test_round_robin_equals_loop(spark, seed):
     rows = clustered(40, seed)
     size = Counter(c for _, c, _ in rows)
     df = spark.createDataFrame([(i, c, m, size[c]) for i, c, m in rows], "id long, cluster_id long, mass long, n long")
-    got = [(r["pick"], r["id"]) for r in selection.round_robin(df, [F.desc("n"), F.col("cluster_id")], [F.desc("mass"), F.col("id")], 25).collect()]
+    got = [(r["pick"], r["id"]) for r in selection.round_robin(df, [F.desc("n"), F.col("cluster_id")], [-F.col("mass"), F.col("id")], 25).collect()]
     queues = {c: sorted((-m, i) for i, cc, m in rows if cc == c) for c in size}
     order, want = sorted(size, key=lambda c: (-size[c], c)), []
     while len(want) < 25:
@@ -104,7 +104,7 @@ def test_largest_remainder_refuses(spark):
 
 def test_top_in_group_with_one_hot_group(spark):
     df = spark.range(2000).select("id", F.lit(1).alias("g"), (F.col("id") % 7).alias("m"))
-    got = [r["id"] for r in selection.top_in_group(df, "g", [F.desc("m"), F.col("id")], F.lit(5)).orderBy("rn").collect()]
+    got = [r["id"] for r in selection.top_in_group(df, "g", [-F.col("m"), F.col("id")], F.lit(5)).orderBy("rn").collect()]
     assert got == [6, 13, 20, 27, 34]
 
 

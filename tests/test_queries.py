@@ -8,9 +8,6 @@ import pytest
 
 from cairnset.plans import catalog
 
-SLOW = {"nn_best_library", "nn_library_scores", "exact_matches", "neighbour_buckets"}  # the same join as nn_by_library
-
-
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
@@ -23,7 +20,7 @@ def rows(cols, found):
     return sorted(tuple(repr(float(v)) if isinstance(v, float) else str(v) for v in (r[cols.index(c)] for c in sorted(cols))) for r in found)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, con, sf_dir, name):
     got, want = catalog.QUERIES[name](spark, sf_dir), con.sql(catalog.SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -31,5 +28,6 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_runs(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).count() >= 0
+def test_query_without_sql_gives_known_rows(spark, sf_dir, name):
+    found = catalog.QUERIES[name](spark, sf_dir).limit(1000).collect()
+    assert found and all(v is not None for v in found[0])
