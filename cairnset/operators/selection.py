@@ -99,6 +99,19 @@ def hashed_sample_per(df: DataFrame, group: str, id_col: str, n: int, seed: int)
     return top_in_group(df.select(id_col, *[c for c in df.columns if c != id_col]), group, [hash_order(id_col, seed), F.col(id_col)], F.lit(n)).drop("rn")
 
 
+def balanced_draw(df: DataFrame, id_col: str, class_col: str, n: int, seed: int) -> DataFrame:
+    """``draw, id_col, class_col``: ``n`` draws with replacement in which each row weighs the inverse of its class's count:
+    a class by hash of the draw, then a row of it by rank. Null classes take no part."""
+    rows = running_totals(df.where(F.col(class_col).isNotNull()).select(id_col, class_col), [class_col], [F.col(id_col)], {"_rank": F.lit(1)})
+    classes = rows.groupBy(class_col).agg(F.max("_rank_all").alias("_n"))
+    order = Window.orderBy(class_col)  # one row a class
+    named = classes.select(class_col, "_n", (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_k"))
+    number = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}{salt}"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw")).withColumns({"_a": number("a"), "_b": number("b")})
+    placed = draws.join(F.broadcast(named), F.pmod(F.col("_a"), F.col("_k")) == F.col("_i")).select("draw", class_col, (F.pmod(F.col("_b"), F.col("_n")) + 1).alias("_rank"))
+    return placed.join(rows, [class_col, "_rank"]).select("draw", id_col, class_col)
+
+
 def topk_mass_coverage(chosen: DataFrame, eligible: DataFrame) -> DataFrame:
     """``n_selected, mass_selected, mass_topk, coverage``: mass of the chosen over that of as many heaviest eligible
     ones; null if none is chosen or eligible. Selected rows outside the eligible count nothing."""

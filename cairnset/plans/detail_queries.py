@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairnset.functions.fingerprints import tanimoto
 from cairnset.operators import hexbin, similarity
 from cairnset.operators.running import quantiles
+from cairnset.operators.selection import balanced_draw
 from cairnset.plans.selection_queries import _HASH
 from cairnset.plans.similarity_queries import _COMP
 from cairnset.plans.space_queries import NBINS
@@ -100,6 +101,12 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "umap_dataset").where("label IS NOT NULL").groupBy("label").agg((1 / F.count("*")).alias("weight"))
 
 
+def balanced_epoch(spark: SparkSession, sf: str) -> DataFrame:
+    """As many draws with replacement as there are labelled rows, both labels alike."""
+    u = table(spark, sf, "umap_dataset").where("label IS NOT NULL").select("mol_id", "label")
+    return balanced_draw(u, "mol_id", "label", u.count(), 11)
+
+
 def active_count(spark: SparkSession, sf: str) -> DataFrame:
     return medoids(spark, sf).agg(F.count_if(F.col("kind") == "active").alias("n_active"))
 
@@ -114,7 +121,7 @@ def dataset_mix(spark: SparkSession, sf: str) -> DataFrame:
     return tag(m.where("kind = 'active'"), "active").unionByName(tag(analogs, "analog")).unionByName(tag(rest, "background"))
 
 
-QUERIES = {f.__name__: f for f in (members_to_medoid, nearest_centre, collapsed_clusters, scaled_prices, vendor_only_bits, shared_bits, cache_keys, json_bits, radial_bands, price_density, class_weights, active_count, dataset_mix)}
+QUERIES = {f.__name__: f for f in (members_to_medoid, nearest_centre, collapsed_clusters, scaled_prices, vendor_only_bits, shared_bits, cache_keys, json_bits, radial_bands, price_density, class_weights, balanced_epoch, active_count, dataset_mix)}
 
 _W = f"WITH {MEDOIDS}"
 _NY = max(1, int(NBINS / 3**0.5))
@@ -131,6 +138,7 @@ SQL = {
     "radial_bands": f"WITH {POINTS}, c AS (SELECT avg(x) AS mx, avg(y) AS my FROM pts), r AS (SELECT is_decoy, sqrt(pow(x - mx, 2) + pow(y - my, 2)) AS r FROM pts, c), q AS (SELECT quantile_cont(r, 1.0 / 3) AS a, quantile_cont(r, 2.0 / 3) AS b FROM r) SELECT CASE WHEN r <= a THEN 'inner' WHEN r <= b THEN 'middle' ELSE 'outer' END AS band, count(*) AS n, count(*) FILTER (WHERE is_decoy) AS n_decoys FROM r, q GROUP BY 1",
     "price_density": "SELECT CAST(a * 2 AS DOUBLE) AS at, round(avg(exp(-0.5 * pow((a * 2 - p_size) / 2.0, 2)) / (2.0 * sqrt(2 * pi()))), 6) AS density FROM part, range(26) t(a) GROUP BY 1",
     "class_weights": "SELECT label, 1 / CAST(count(*) AS DOUBLE) AS weight FROM umap_dataset WHERE label IS NOT NULL GROUP BY label",
+    "balanced_epoch": "WITH u AS (SELECT mol_id, label, row_number() OVER (PARTITION BY label ORDER BY mol_id) AS r, count(*) OVER (PARTITION BY label) AS n, dense_rank() OVER (ORDER BY label) - 1 AS i FROM umap_dataset WHERE label IS NOT NULL), d AS (SELECT k AS draw, CAST('0x' || substr(md5('11a:' || k), 1, 8) AS BIGINT) AS a, CAST('0x' || substr(md5('11b:' || k), 1, 8) AS BIGINT) AS b FROM range((SELECT count(*) FROM u)) t(k)) SELECT draw, mol_id, label FROM d JOIN u ON a % (SELECT count(DISTINCT label) FROM u) = i AND b % n + 1 = r",
     "active_count": f"{_W} SELECT count(*) FILTER (WHERE kind = 'active') AS n_active FROM m",
     "dataset_mix": f"{_W}, k AS (SELECT count(*) AS k, CAST(round_even(0.4 * count(*), 0) AS BIGINT) AS a FROM m WHERE kind = 'active'), d AS (SELECT id, row_number() OVER (ORDER BY mass DESC, id) AS r FROM m WHERE kind = 'decoy'), rest AS (SELECT id, row_number() OVER (ORDER BY {_HASH(7, 'id')}, id) AS r FROM d, k WHERE r > a) SELECT id, 'active' AS part FROM m WHERE kind = 'active' UNION ALL SELECT id, 'analog' FROM d, k WHERE r <= a UNION ALL SELECT id, 'background' FROM rest, k WHERE r <= k - a",
 }

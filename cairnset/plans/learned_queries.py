@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnset.operators import learned, metrics
+from cairnset.operators.selection import round_robin
 from cairnset.plans.tables import rounded, table
+from cairnset.storage import materialize
 from cairnset.streaming.incremental import windowed_histogram
 
 
@@ -15,6 +17,14 @@ def kmeans_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return learned.kmeans(e, F.col("embedding"), 16).groupBy("cluster").agg(F.count("*").alias("n"), F.avg("d2").alias("mean_d2"))
 
 
+def kmeans_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Round robin over k-means clusters, largest first, decoys by distance to their cluster's centre."""
+    placed = materialize(learned.kmeans(table(spark, sf, "embeddings"), F.col("embedding"), 16).select(F.col("vec_id").alias("id"), F.col("cluster").cast("long").alias("cluster_id"), "label", "d2"))
+    sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    decoys = placed.where("label BETWEEN 1 AND 3").join(F.broadcast(sizes), "cluster_id").select("id", "cluster_id", "d2", "n")  # 16 rows
+    return round_robin(decoys, [F.desc("n"), F.col("cluster_id")], [F.col("d2"), F.col("id")], 100).select("id", "cluster_id", F.col("pick").cast("long").alias("pick"))
+
+
 def pca_positions(spark: SparkSession, sf: str) -> DataFrame:
     return learned.project(table(spark, sf, "embeddings"), F.col("embedding"), 2).select("vec_id", "x1", "x2")
 
@@ -41,7 +51,7 @@ def event_days(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(h.withColumn("log_n", F.log10("n")), "log_n")
 
 
-QUERIES = {f.__name__: f for f in (kmeans_sizes, pca_positions, forest_quality, event_histogram, event_days)}
+QUERIES = {f.__name__: f for f in (kmeans_sizes, kmeans_picks, pca_positions, forest_quality, event_histogram, event_days)}
 _H = "h AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(least(floor(value / hi * 10), 9) AS BIGINT) AS bin, count(*) AS n FROM events, (SELECT ceil(max(value) / 100) * 100 AS hi FROM events) WHERE value >= 0 GROUP BY ALL)"
 SQL = {
     "event_histogram": f"WITH {_H} SELECT day, event_type, bin, n FROM h",

@@ -13,6 +13,7 @@ from cairnset.storage import materialize
 NBINS = 20
 CAPS = {"alpha": 0.5, "ref_quantile": 0.9, "min_log_mass": 0.5}
 TARGET = 60
+GRIDS = list(range(15, 101, 5))
 
 
 def _binned(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +51,8 @@ def hex_first_feasible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hex_cap_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return hexbin.cap_sweep(hexbin.hex_table(_binned(spark, sf)), list(range(1, 9)), **CAPS)
+    """All 210 pairs of caps up to 20, each at the smallest of 18 grids that holds the target."""
+    return rounded(hexbin.cap_sweep(points(spark, sf), TARGET, GRIDS, list(range(1, 21)), **CAPS), "hex_coverage", "mass_coverage", "rho")
 
 
 def hex_rank_correlation(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,13 +115,30 @@ _H = f"WITH {POINTS}, {hex_sql(NBINS)}"
 _REF = "ref AS (SELECT greatest(coalesce(quantile_cont(mass, 0.9), 1.0), 1.0) AS ref FROM hexes WHERE mass > 0 AND log10(mass) >= 0.5)"
 _CAPS = f"{_REF}, capped AS (SELECT hex_id, n, mass, n_decoys, mass > 0 AND log10(mass) >= 0.5 AS keep, CAST(CASE WHEN mass > 0 AND log10(mass) >= 0.5 THEN least(greatest(round_even(3.0 * pow(mass / ref, 0.5), 0), 1), 4) ELSE 0 END AS INTEGER) AS cap FROM hexes, ref)"
 _FILL = f"f0 AS (SELECT hp.id, hp.hex_id, c.mass AS hex_mass, c.cap, row_number() OVER (PARTITION BY hp.hex_id ORDER BY hp.id) AS rn FROM hp JOIN capped c USING (hex_id) WHERE is_decoy AND cap > 0), fill AS (SELECT id, hex_id, hex_mass FROM f0 WHERE rn <= cap ORDER BY hex_mass DESC, id LIMIT {TARGET})"
+_GRIDS = "gh AS (" + " UNION ALL ".join(f"(WITH {hex_sql(n)} SELECT {n} AS nbins, id, hex_id, mass, is_decoy FROM hp)" for n in GRIDS) + ")"
+_PAIRS = "pr AS (SELECT CAST(a AS INTEGER) AS max_cap, CAST(b AS INTEGER) AS mid_cap FROM range(1, 21) t(a), range(1, 21) s(b) WHERE b <= a)"
+_SWEEP = f"""kept AS (SELECT nbins, hex_id, sum(mass) AS mass, count(*) FILTER (WHERE is_decoy) AS n_decoys FROM gh GROUP BY ALL HAVING sum(mass) > 0 AND log10(sum(mass)) >= 0.5),
+rf AS (SELECT nbins, greatest(quantile_cont(mass, 0.9), 1.0) AS ref FROM kept GROUP BY nbins),
+cp AS (SELECT max_cap, mid_cap, nbins, hex_id, mass, n_decoys, CAST(least(greatest(round_even(mid_cap * pow(mass / ref, 0.5), 0), 1), max_cap) AS INTEGER) AS cap FROM kept JOIN rf USING (nbins), pr),
+ch AS (SELECT max_cap, mid_cap, min(nbins) AS nbins FROM (SELECT max_cap, mid_cap, nbins FROM cp GROUP BY ALL HAVING sum(least(cap, n_decoys)) >= {TARGET}) GROUP BY ALL),
+bn AS (SELECT cp.* FROM cp JOIN ch USING (max_cap, mid_cap, nbins)),
+wi AS (SELECT max_cap, mid_cap, nbins, hex_id, bn.mass AS hex_mass, cap, id, gh.mass AS own FROM bn JOIN gh USING (nbins, hex_id) WHERE is_decoy),
+fw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY max_cap, mid_cap, hex_id ORDER BY id) AS rn FROM wi) WHERE rn <= cap),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY max_cap, mid_cap ORDER BY hex_mass DESC, id) AS pick FROM fw) WHERE pick <= {TARGET}),
+heaviest AS (SELECT max_cap, mid_cap, sum(own) AS most FROM (SELECT *, row_number() OVER (PARTITION BY max_cap, mid_cap ORDER BY own DESC, id) AS rn FROM wi) WHERE rn <= {TARGET} GROUP BY ALL),
+hs AS (SELECT max_cap, mid_cap, bn.mass, (SELECT count(*) FROM pk WHERE pk.max_cap = bn.max_cap AND pk.mid_cap = bn.mid_cap AND pk.hex_id = bn.hex_id) AS n_sel FROM bn),
+rk AS (SELECT *, rank() OVER (PARTITION BY max_cap, mid_cap ORDER BY mass) + (count(*) OVER (PARTITION BY max_cap, mid_cap, mass) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY max_cap, mid_cap ORDER BY n_sel) + (count(*) OVER (PARTITION BY max_cap, mid_cap, n_sel) - 1) / 2.0 AS rb FROM hs),
+shares AS (SELECT max_cap, mid_cap, count(*) FILTER (WHERE n_sel > 0) / CAST(count(*) AS DOUBLE) AS hex_coverage, CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM rk GROUP BY ALL),
+got AS (SELECT max_cap, mid_cap, any_value(nbins) AS nbins, count(*) AS n_selected, sum(own) AS sel FROM pk GROUP BY ALL)"""
 _HQ = "least(CAST(floor((l_quantity - 0.0) / 50.0 * 20) AS INTEGER), 19)"
 SQL = {
     "hex_masses": f"{_H} SELECT hex_id, n, mass, n_decoys FROM hexes",
     "hex_caps": f"{_H}, {_CAPS} SELECT hex_id, mass, keep, cap FROM capped",
     "hex_fill": f"{_H}, {_CAPS}, {_FILL} SELECT id, hex_id, hex_mass FROM fill",
     "hex_coverage": f"{_H}, {_CAPS}, {_FILL} SELECT (SELECT count(DISTINCT hex_id) FROM fill WHERE hex_id IN (SELECT hex_id FROM capped WHERE keep)) AS n_hit, count(*) FILTER (WHERE keep) AS n_kept, round((SELECT count(DISTINCT hex_id) FROM fill WHERE hex_id IN (SELECT hex_id FROM capped WHERE keep)) / CAST(count(*) FILTER (WHERE keep) AS DOUBLE), 6) AS coverage FROM capped",
-    "hex_cap_sweep": f"{_H}, {_REF}, pr AS (SELECT CAST(a AS INTEGER) AS max_cap, CAST(b AS INTEGER) AS mid_cap FROM range(1, 9) t(a), range(1, 9) s(b) WHERE b <= a) SELECT max_cap, mid_cap, count(*) AS n_hexes, CAST(sum(least(least(greatest(round_even(mid_cap * pow(mass / ref, 0.5), 0), 1), max_cap), n_decoys)) AS BIGINT) AS room FROM hexes, ref, pr WHERE mass > 0 AND log10(mass) >= 0.5 GROUP BY max_cap, mid_cap",
+    "hex_cap_sweep": f"WITH {POINTS}, {_GRIDS}, {_PAIRS}, {_SWEEP} SELECT max_cap, mid_cap, CAST(nbins AS INTEGER) AS chosen_nbins, n_selected, round(hex_coverage, 6) AS hex_coverage, round(sel / most, 6) AS mass_coverage, round(rho, 6) AS rho FROM got JOIN shares USING (max_cap, mid_cap) JOIN heaviest USING (max_cap, mid_cap)",
+    "hex_first_feasible": "SELECT CAST(nbins AS BIGINT) AS nbins, n_hexes FROM (" + " UNION ALL ".join(f"(WITH {POINTS}, {hex_sql(n)}, {_CAPS} SELECT {n} AS nbins, count(*) AS n_hexes, sum(least(cap, n_decoys)) AS room FROM capped)" for n in range(5, 41, 5)) + f") WHERE room >= {TARGET} ORDER BY nbins LIMIT 1",
+    "nearest_active_in_space": f"WITH {POINTS} SELECT d.id, round(sqrt(min(pow(d.x - a.x, 2) + pow(d.y - a.y, 2))), 6) AS distance FROM pts d, pts a WHERE d.is_decoy AND a.label = 0 GROUP BY d.id ORDER BY min(pow(d.x - a.x, 2) + pow(d.y - a.y, 2)), d.id LIMIT 30",
     "hex_rank_correlation": f"{_H}, r AS (SELECT rank() OVER (ORDER BY mass) + (count(*) OVER (PARTITION BY mass) - 1) / 2.0 AS a, rank() OVER (ORDER BY n_decoys) + (count(*) OVER (PARTITION BY n_decoys) - 1) / 2.0 AS b FROM hexes) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
     "descriptor_summary": "SELECT l_returnflag, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(quantile_cont(v, 0.05), 6) AS q05, round(quantile_cont(v, 0.25), 6) AS q25, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(quantile_cont(v, 0.95), 6) AS q95, round(min(v), 6) AS low, round(max(v), 6) AS high FROM (SELECT l_returnflag, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL) GROUP BY l_returnflag",
     "descriptor_histogram": f"SELECT l_returnflag, CAST({_HQ} AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY ALL",

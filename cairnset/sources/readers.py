@@ -48,6 +48,20 @@ def read_sdf(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.trim(F.substring_index(text, "\n", 1)).alias("name"), block.alias("molblock"), props.alias("props"))
 
 
+def read_compounds(spark: SparkSession, path: str) -> DataFrame:
+    """A compound file by its ending: CSV (also gzipped), SMILES or text lines, SD files, Parquet; others are an error."""
+    name = path.lower().removesuffix(".gz")
+    if name.endswith(".csv"):
+        return read_csv_glob(spark, [path])
+    if name.endswith((".smi", ".smiles", ".txt")):
+        return read_smiles(spark, path)
+    if name.endswith((".sdf", ".sd")):
+        return read_sdf(spark, path)
+    if name.endswith(".parquet"):
+        return spark.read.parquet(path)
+    raise ValueError(f"no reader for {path}")
+
+
 def read_medoids(spark: SparkSession, path: str, excluded: tuple[str, ...] = ()) -> DataFrame:
     """A catalog of medoids partitioned by ``library``; excluded libraries are pruned before anything is read."""
     return spark.read.parquet(path).where(~F.col("library").isin(*excluded)) if excluded else spark.read.parquet(path)

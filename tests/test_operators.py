@@ -222,3 +222,36 @@ def test_nearest_active_query_equals_all_pairs(spark, sf_dir):
     want = sorted((float(np.sqrt(((to - (r["x"], r["y"])) ** 2).sum(1).min())), r["id"]) for r in rows if r["is_decoy"])[:30]
     got = {r["id"]: r["distance"] for r in space_queries.nearest_active_in_space(spark, sf_dir).collect()}
     assert set(got) == {i for _, i in want} and all(abs(got[i] - d) < 1e-6 for d, i in want)
+
+
+def test_half_of_a_hot_group_is_ranked_in_ranges(spark):
+    df = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("m"))
+    out = selection.top_in_group(df, "g", [F.col("m"), F.col("id")], F.lit(1800)).collect()
+    rows = sorted((r["m"], r["id"]) for r in df.where("g = 'hot'").collect())[:1800]
+    assert [(r["m"], r["id"]) for r in sorted((r for r in out if r["g"] == "hot"), key=lambda r: r["rn"])] == rows
+    assert sum(r["g"] == "cold" for r in out) == 400
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    r = np.random.default_rng(1)
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(np.round(r.normal(0, 3, 500), 1))] + [("a", None), (None, 2.0)]
+    got = {x["k"]: x for x in running.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p": 0.05, "q": 0.5, "r": 0.99}).collect()}
+    for k in ("a", "b", None):
+        v = [b for a, b in rows if a == k and b is not None]
+        assert np.allclose([got[k]["p"], got[k]["q"], got[k]["r"]], np.quantile(v, [0.05, 0.5, 0.99]))
+    assert running.quantiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", {"p": 0.5}).count() == 0
+
+
+def test_capacity_binds_in_the_allocation(spark):
+    df = spark.createDataFrame([(1, 5.4, 2), (2, 2.6, 10), (3, 2.0, 0)], "cluster_id long, theory double, capacity long")
+    with pytest.raises(ValueError):
+        selection.largest_remainder(df, 10)
+    assert {r["cluster_id"]: r["allocated"] for r in selection.largest_remainder(df, 10, strict=False).collect()} == {1: 2, 2: 3, 3: 0}
+
+
+def test_balanced_draws(spark):
+    df = spark.createDataFrame([(i, 1 if i < 30 else 0) for i in range(300)] + [(999, None)], "id long, label int")
+    got = selection.balanced_draw(df, "id", "label", 2000, 3).collect()
+    assert len(got) == 2000 and len({r["draw"] for r in got}) == 2000
+    assert 900 < sum(r["label"] for r in got) < 1100 and len({r["id"] for r in got if r["label"]}) == 30
+    assert selection.balanced_draw(df.limit(0), "id", "label", 5, 3).count() == 0

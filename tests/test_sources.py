@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cairnset.operators import learned
@@ -74,3 +75,14 @@ def test_learners(spark):
     assert k.groupBy("cluster").agg(F.countDistinct("y").alias("n")).where("n > 1").count() == 0
     assert learned.project(df, F.col("v"), 2).where("x1 IS NULL").count() == 0
     assert learned.forest_scores(df, df, ["f"], "y", trees=5, depth=3).where("(y_prob > 0.5) <> (y = 1)").count() == 0
+
+
+def test_reader_by_ending(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SMILES,Title\nCCO,x\n")
+    (tmp_path / "b.smi").write_text("CCO x\n\nCC y\n")
+    (tmp_path / "c.sdf").write_text("m\n\n\nM  END\n> <K>\nv\n\n$$$$\n")
+    assert readers.read_compounds(spark, f"{tmp_path}/a.csv").first()["SMILES"] == "CCO"
+    assert readers.read_compounds(spark, f"{tmp_path}/b.smi").count() == 2
+    assert readers.read_compounds(spark, f"{tmp_path}/c.sdf").first()["props"] == {"K": "v"}
+    with pytest.raises(ValueError):
+        readers.read_compounds(spark, f"{tmp_path}/d.xyz")
