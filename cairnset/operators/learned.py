@@ -35,9 +35,11 @@ def project(df: DataFrame, features: Column, k: int = 2) -> DataFrame:
 
 
 def forest_scores(train: DataFrame, test: DataFrame, columns: list[str], label: str, trees: int = 50, depth: int = 10, seed: int = 42, weight: str | None = None) -> DataFrame:
-    """``test`` with ``y_prob`` of a random forest fitted on ``train`` (depth up to 30)."""
+    """``test`` with ``y_prob`` of a random forest fitted on ``train``. Raises for a depth over 30, the library's limit."""
+    if depth > 30:
+        raise ValueError(f"forests are at most 30 deep, not {depth}")
     prepare = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=min(depth, 30), seed=seed)
+    rf = RandomForestClassifier(featuresCol="_v", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     if weight:
         rf = rf.setWeightCol(weight)
     model = rf.fit(prepare.transform(train))
