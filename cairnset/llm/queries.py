@@ -90,4 +90,19 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_report, p3_subsets, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_clusters, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_levels, p9_profile)}
-SQL: dict[str, str] = {}
+_TEXT = r"regexp_replace(smiles, '[\s\p{Z}\p{Cf}\p{Cc}]', '', 'g')"
+_SIGNS = "cCNOSFl1234()[]=#@H+-sno"  # an edit distance is at least what one text has of these signs beyond the other
+_COUNTS = ", ".join(f"length(t) - length(replace(t, '{x}', '')) AS n{i}" for i, x in enumerate(_SIGNS))
+_MOST = "CAST(floor(greatest(x.n, y.n) * 0.15 + 1e-9) AS BIGINT)"
+_SIDED = rf"""u AS (SELECT mol_id, {_TEXT} AS t, lower(regexp_replace(split, '[\s\p{{Z}}\p{{Cf}}\p{{Cc}}]', '', 'g')) AS s FROM umap_dataset),
+k AS (SELECT mol_id, t, s = 'train' AS train, length(t) AS n, {_COUNTS} FROM u WHERE s IN ('train', 'val', 'test') AND length(t) > 0)"""
+_RELATED = rf"""c AS (SELECT mol_id AS id, lower(regexp_replace(series_code, '[^\p{{L}}\p{{N}}]', '', 'g')) AS series, list_sort(list_transform(string_split({_TEXT}, '.'), lambda p: {{'n': -length(p), 'p': p}}))[1].p AS part FROM umap_dataset),
+e AS (SELECT id, 's' || series AS k FROM c WHERE series NOT IN ({", ".join(repr(x) for x in related_splits.PLACEHOLDERS)}) UNION SELECT id, 'c' || part FROM c WHERE length(part) > 0),
+f AS (SELECT id, min(id) OVER (PARTITION BY k) AS first, count(*) OVER (PARTITION BY k) AS n FROM e),
+l AS (SELECT DISTINCT id AS a, first AS b FROM f WHERE n > 1 UNION SELECT DISTINCT first, id FROM f WHERE n > 1)"""
+#: Brute force on the same tables: all pairs for problems 2 and 5, and everything that is reached for problem 4.
+SQL: dict[str, str] = {
+    "p2_found": f"WITH {_SIDED} SELECT least(x.mol_id, y.mol_id) AS mol_id_a, greatest(x.mol_id, y.mol_id) AS mol_id_b FROM k x JOIN k y ON x.train AND NOT y.train AND abs(x.n - y.n) <= {_MOST}" + "".join(" AND " + " + ".join(f"greatest({a}.n{i} - {b}.n{i}, 0)" for i in range(len(_SIGNS))) + f" <= {_MOST}" for a, b in ("xy", "yx")) + f" WHERE levenshtein(x.t, y.t) <= {_MOST}",
+    "p4_found": f"WITH RECURSIVE {_RELATED}, r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT min(b) AS first_id, a AS mol_id FROM r GROUP BY a HAVING min(b) < a",
+    "p5_found": "WITH f AS (SELECT medoid_id AS id, list_distinct(list_filter(bits, lambda b: b >= 0 AND b < 2048)) AS bits FROM npy_medoids), g AS (SELECT id, len(bits) AS n, unnest(bits) AS bit FROM f), m AS (SELECT x.id AS a, y.id AS b, count(*) AS shared, any_value(x.n) + any_value(y.n) AS n FROM g x JOIN g y USING (bit) GROUP BY x.id, y.id) SELECT min(b) AS first_id, a AS medoid_id FROM m WHERE shared >= 0.525 * (n - shared) GROUP BY a HAVING min(b) < a",
+}
