@@ -3,8 +3,8 @@
 Method: minimum-cost flow quotas. Records are counted by combination of library, structure region and depth, where
 depth says how many members of the same similarity group come before a record. Flow goes from the source through
 libraries and combinations to regions and the sink. Each further unit through a library or region costs more than the
-one before, so that costs are strictly convex: libraries are served alike as far as their stock goes, then regions,
-against the price of going deeper into a group. The flow through a combination is its quota, which its records fill in
+one before, so that costs are strictly convex: libraries are served alike as far as their stock goes, then
+groups before their deeper members, then regions. The flow through a combination is its quota, which its records fill in
 order of a fixed rank. The network is as large as the categories. Groups are the clusters of problem 5, regions the
 components of its first mixture.
 """
@@ -24,9 +24,10 @@ def quotas(counts: dict[tuple[str, int, int], int], amount: int, steps: int = 81
     """Quota of each ``(library, region, level)``; all there is, if the amount exceeds it.
 
     Minimum-cost flow by successive shortest paths. A unit through a library costs as many times its price as units
-    went before, a unit through a region likewise, and a level a region's even share. A library's price is above all that
-    regions and levels can cost, so libraries differ by one unit at most unless their stock ends. Amounts beyond
-    ``steps`` are sent in parcels, and alike to within a parcel.
+    went before, a unit through a region likewise, and each level down a group has its price. A library's price is above
+    all that levels can cost, and a level's above all that regions can: libraries differ by one unit at most unless their
+    stock ends, no group is gone deeper into while a library has other groups, and regions are then as even as can be.
+    Amounts beyond ``steps`` are sent in parcels, and alike to within a parcel.
     """
     if amount >= sum(counts.values()):
         return dict(counts)
@@ -36,8 +37,8 @@ def quotas(counts: dict[tuple[str, int, int], int], amount: int, steps: int = 81
     for (v, r, level), n in counts.items():
         room[libs.index(v), regions.index(r), level] = n
     used, parcel = np.zeros_like(room), max(1, amount // steps)
-    deep = max(1, amount // (parcel * len(regions)))
-    dear = amount // parcel + 2 * deep * levels + 2
+    deep = amount // parcel + 1  # above all that regions can cost
+    dear = 2 * deep * (levels + 1)
     never, place = np.iinfo(np.int64).max // 4, np.arange(levels)
     sent = 0
     while sent < amount:
