@@ -30,4 +30,4 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_gives_known_rows(spark, sf_dir, name):
     found = catalog.QUERIES[name](spark, sf_dir).limit(1000).collect()
-    assert found and all(r[0] is not None for r in found)
+    assert found and all(any(v is not None for v in r) for r in found)
