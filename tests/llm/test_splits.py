@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,30 @@ def test_report_counts_classes_as_pairs(spark):
     df = spark.createDataFrame(rows, "mol_id long, smiles string, split string, source string")
     got = {(r["split"], r["source"]): tuple(r)[2:] for r in cs.overlap_report(df).collect()}
     assert got == {("val", "b"): (2, 4, 2, 2), ("test", None): (2, 2, 2, 1)}
+
+
+def test_sketches_never_tell_texts_further_apart_than_edits_do():
+    r = random.Random(8)
+    texts = np.array(["".join(r.choice("CCCcccNOSF()=1234\U0001f600") for _ in range(r.randint(1, 70))) for _ in range(300)], object)
+    edited, edits = [], []
+    for text in texts:
+        new, k = list(text), r.randint(0, 9)
+        for _ in range(k):
+            at = r.randrange(len(new) + 1)
+            new[at : at + r.randint(0, 1)] = r.choice(["", "C", "N", "("])
+        edited.append("".join(new) or "C")
+        edits.append(k + 1)
+    for q in cs.SKETCH:
+        steps = cs._steps(texts, q)
+        a, b = (cs._sketch(t, q, steps).view(np.uint64) for t in (texts, np.array(edited, object)))
+        beyond, missed = (np.bitwise_count(x & ~y).sum(1) for x, y in ((a, b), (b, a)))
+        assert (np.maximum(beyond, missed) <= q * np.array(edits)).all() and beyond.sum() > 0
+        assert not cs._sketch(texts, q, []).any()
+
+
+def test_rounds_change_nothing_and_leave_only_pairs(spark):
+    df = spark.createDataFrame(compounds(220, 1), SCHEMA)
+    texts = df.select(F.col("mol_id").alias("tid"), F.regexp_replace("smiles", " ", "").alias("text"), (F.col("split") == "train").alias("on_train"), (F.col("split") == "val").alias("on_eval"))
+    texts = texts.groupBy("text").agg(F.min("tid").alias("tid"), F.coalesce(F.max("on_train"), F.lit(False)).alias("on_train"), F.coalesce(F.max("on_eval"), F.lit(False)).alias("on_eval"))
+    got = {tuple(r) for r in cs.near_text_pairs(texts, plan=cs.Plan(round_rows=1)).collect()}  # four blocks a round
+    assert got == {tuple(r) for r in cs.near_text_pairs(texts, plan=cs.Plan(round_rows=10**9)).collect()} and len(got) > 10
